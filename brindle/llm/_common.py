@@ -63,3 +63,9 @@ def bounded_labels(
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`."""
     return F.crc32(doc_id.cast("string")) % F.lit(modulus)
+
+
+def small_or_as_is(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """`df` written once and, if it has few rows, marked for broadcast; larger ones are joined by shuffle."""
+    df = checkpoint(df)
+    return F.broadcast(df) if df.count() <= most_rows else df

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm._common import checkpoint, n_words
+from brindle.llm._common import checkpoint, n_words, small_or_as_is
 
 SEED = "mix-1"
 #: Hex digits of the key that name its range: 16 ** 3 ranges for each source.
@@ -106,7 +106,7 @@ def mix(docs: DataFrame, *, seed: str = SEED) -> DataFrame:
     columns of `docs` are not looked at.
     """
     sized = checkpoint(_sized(docs, seed))
-    cuts = source_cuts(sized)
+    cuts = small_or_as_is(source_cuts(sized))
     return sized.join(cuts, ["no_source", "source"]).select("doc_id", "size", "source_size", "target", _taken().alias("taken"))
 
 
@@ -134,7 +134,7 @@ def repeat_documents(docs: DataFrame, *, seed: str = SEED) -> DataFrame:
         _key(F.col("doc_id"), seed).alias(own[2]),
         n_words(F.col("text")).alias(own[3]),
     )
-    cuts = source_cuts(checkpoint(_sized(docs, seed))).select(
+    cuts = small_or_as_is(source_cuts(checkpoint(_sized(docs, seed)))).select(
         F.col("no_source").alias("__cut_null"), F.col("source").alias("__cut_source"), F.col("epochs").alias("__cut_epochs"), F.col("cut").alias("__cut_at")
     )
     joined = rows.join(cuts, (F.col(own[0]) == F.col("__cut_null")) & (F.col(own[1]) == F.col("__cut_source")))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import mixing, quality_rules
+from brindle.llm import mixing, pii, quality_rules
 from brindle.llm._common import table
 
 
@@ -18,9 +18,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op9_mixing": op9_mixing,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
