@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import mixing, near_dup, pii, quality_rules
+from brindle.llm import mixing, near_dup, pieces, pii, quality_rules
 from brindle.llm._common import table
 
 
@@ -18,6 +18,10 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_texts(table(spark, sf_dir, "documents"), pieces.Vocabulary.read())
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_near_dup": op4_near_dup,
+    "op7_sentencepiece": op7_sentencepiece,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
 }
