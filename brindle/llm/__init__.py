@@ -1 +1,8 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of these modules travel to the executors as code, so the package needn't be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
