@@ -221,10 +221,10 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     holds the mark itself decodes to a blank in its place, as in the model's own library, and is the only
     kind with round_trip false. Rows are independent; other columns are not looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # tens of thousands of pieces, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(vars(vocabulary))  # tens of thousands of pieces, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
+        encoder, decoder = Encoder(Vocabulary(**shared.value)), Decoder(Vocabulary(**shared.value))
 
         def columns(texts: list[str | None]) -> Iterator[list]:
             ids = encoder.encode(t or "" for t in texts)
@@ -241,10 +241,10 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 def decode_texts(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Out: doc_id, text. Null ids give a null text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = encoded.sparkSession.sparkContext.broadcast(vars(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(shared.value)
+        decoder = Decoder(Vocabulary(**shared.value))
         for batch in batches:
             texts = [None if x is None else decoder.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
