@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import mixing, near_dup, pieces, pii, quality_rules
+from brindle.llm import compression, mixing, near_dup, pieces, pii, quality_rules, toxicity
 from brindle.llm._common import table
 
 
@@ -14,6 +14,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,7 +40,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_compression_classifier": op3_compression_classifier,
     "op4_near_dup": op4_near_dup,
+    "op5_toxicity": op5_toxicity,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
