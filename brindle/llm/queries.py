@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import compression, mixing, near_dup, pieces, pii, quality_rules, toxicity
+from brindle.llm import compression, lang_id, mixing, near_dup, pieces, pii, quality_rules, top_k, toxicity
 from brindle.llm._common import table
 
 
@@ -26,6 +26,14 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_texts(table(spark, sf_dir, "documents"), pieces.Vocabulary.read())
 
@@ -43,11 +51,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_compression_classifier": op3_compression_classifier,
     "op4_near_dup": op4_near_dup,
     "op5_toxicity": op5_toxicity,
+    "op6_lang_id": op6_lang_id,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_top_k": op8_top_k,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_top_k": top_k.TOP_K_SQL,
     "op9_mixing": mixing.MIX_SQL,
 }
