@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import compression, lang_id, mixing, near_dup, pieces, pii, quality_rules, top_k, toxicity
+from brindle.llm import compression, html_crf, lang_id, mixing, near_dup, pieces, pii, quality_rules, top_k, toxicity
 from brindle.llm._common import table
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,6 +51,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html": op1_html,
     "op2_quality_rules": op2_quality_rules,
     "op3_compression_classifier": op3_compression_classifier,
     "op4_near_dup": op4_near_dup,
