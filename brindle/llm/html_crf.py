@@ -150,13 +150,21 @@ _HINTS = re.compile(
 )
 
 
+#: Names that a page's own article usually stands under.
+_MAIN = frozenset("article main content entry post story".split())
+
+
 def features(blocks: list[Block]) -> list[list[str]]:
     out = []
     n = len(blocks)
+    inside = [bool(_MAIN & {*b.tags, *b.names}) for b in blocks]
+    some = any(inside)
     for k, b in enumerate(blocks):
         words = b.text.count(" ") + 1
         inner = [t for t in b.tags if t in BLOCK_TAGS]
         own = ["bias", f"in {inner[-1]}" if inner else "in nothing", f"words {min(6, int(math.log2(words)))}", f"links {0 if b.linked == 0 else 1 + int(b.linked * 2.99)}"]
+        where = "inside" if inside[k] else "outside" if some else "nowhere"
+        own += [where, f"{where} {inner[-1] if inner else ''}"]
         own += [f"under {t}" for t in set(inner)]
         own += [f"named {x}" for x in b.names]
         own.append(f"ends {b.text[-1] if b.text[-1] in '.!?:,' else 'x'}")
@@ -257,7 +265,7 @@ REST = {
 }
 
 
-def labelled_pages(count: int = 450, seed: int = 1) -> list[tuple[str, str]]:
+def labelled_pages(count: int = 600, seed: int = 1) -> list[tuple[str, str]]:
     """Pages with their article texts, made from the parts above. Words are made up; lengths overlap between parts."""
     r = np.random.Generator(np.random.PCG64(seed))
     syllables = [a + b for a in "b d f g k l m n p r s t v z ch sh th qu".split() for b in "a e i o u an en in on ar er ai ou é ü".split()]
@@ -347,7 +355,7 @@ def _labels(blocks: list[Block], truth: str) -> list[int]:
 
 
 @functools.lru_cache(maxsize=2)
-def trained(count: int = 450, seed: int = 1) -> Field:
+def trained(count: int = 600, seed: int = 1) -> Field:
     """The field of the pages of `labelled_pages`: fitted once in a process, the same in each."""
     pages = []
     for page, truth in labelled_pages(count, seed):
