@@ -9,9 +9,11 @@ union are the register-wise maxima, and equal registers are as likely as shingle
    only, never all with all.
 3. A pair's similarity is estimated by joint likelihood over all registers; pairs far below the
    threshold are dropped, the others verified on the full sets of their texts.
-4. Components follow from the verified links. Buckets whose members are still in different
-   components are searched for further pairs across components, in blocks of bounded size, until
-   none is left: what the smallest member doesn't reach is compared too.
+4. Components follow from the verified links. In buckets whose members are still in different
+   components, a spanning forest of likely pairs is verified next: one pair for each join, not all.
+5. Members that still have a likely partner in another component are compared with all such
+   members of their bucket, on full sets, within the task that holds the bucket (or two blocks of a
+   large one); only links come out. So nothing that shares a bucket stays uncompared.
 
 With 32 bands of 4 registers a pair at similarity 0.8 shares no bucket with probability 5e-8.
 """
@@ -23,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm import _kernel as kernel
-from brindle.llm._common import checkpoint
+from brindle.llm._common import release_shuffles, stored
 
 SHINGLE = 4
 MIN_PERCENT = 80
@@ -36,12 +38,13 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Estimates below this are dropped: 5.6 standard errors of 128 registers under 0.8.
 LEAST_ESTIMATE = 0.6
-#: Classes of one bucket compared with one another in one task.
-BLOCK = 2048
+#: A share of equal registers below which a pair's estimate can't reach that, so it isn't worked out.
+LEAST_EQUAL = 0.45
+#: Shingles of the members of a bucket that are compared with one another in one task; larger buckets are cut into blocks.
+BLOCK = 1 << 20
 
 _random = np.random.Generator(np.random.PCG64(7))
 _MULTIPLY = _random.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _random.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
 _BAND_STEP = _random.integers(1, 1 << 63, (ROWS, 1), dtype=np.uint64) | np.uint64(1)
 
 
@@ -51,7 +54,7 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
         return np.zeros(REGISTERS, np.uint16)
     least = np.full(REGISTERS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for i in range(0, len(shingles), 1024):
-        np.minimum(least, (shingles[None, i : i + 1024] * _MULTIPLY[:, None] + _ADD[:, None]).min(axis=1), out=least)
+        np.minimum(least, (shingles[None, i : i + 1024] * _MULTIPLY[:, None]).min(axis=1), out=least)
     uniform = (kernel_fraction(least) + 0.5) * 2.0**-53
     spaced = np.floor(1 - np.log(-np.log1p(-uniform) / RATE) / math.log(BASE))
     return np.clip(spaced, 0, TOP).astype(np.uint16)
@@ -116,7 +119,12 @@ def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             for k in range(ROWS):
                 x = kernel.mix64((x + r[:, :, k]) * _BAND_STEP[k])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(x.reshape(-1).view(np.int64))], names=["rep", "bucket"]
+                [
+                    pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)),
+                    pa.array(x.reshape(-1).view(np.int64)),
+                    pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(x))),
+                ],
+                names=["rep", "bucket", "band"],
             )
 
 
@@ -126,36 +134,52 @@ def _estimate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             cols = {n: batch.column(n) for n in batch.schema.names}
             like = estimate(_registers(cols["sx"]), _registers(cols["sy"]), cols["nx"].to_numpy().astype(float), cols["ny"].to_numpy().astype(float))
             keep = pa.array(like >= LEAST_ESTIMATE)
-            yield pa.RecordBatch.from_arrays([cols["x"].filter(keep), cols["y"].filter(keep)], names=["x", "y"])
+            score = pa.array(np.round(like * 1e6).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([cols["x"].filter(keep), cols["y"].filter(keep), score.filter(keep)], names=["x", "y", "like"])
 
 
-def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def sets(texts: pa.Array) -> Iterator[np.ndarray]:
-        data, offsets = kernel.buffers(texts)
-        for _, _, part, own in kernel.chunks(data, offsets):
-            yield from kernel.shingle_sets(part, own, SHINGLE)
+def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    data, offsets = kernel.buffers(texts)
+    for _, _, part, own in kernel.chunks(data, offsets):
+        yield from kernel.shingle_sets(part, own, SHINGLE)
 
+
+def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for k in range(0, whole.num_rows, 512):
             batch = whole.slice(k, 512)
             keep = []
-            for a, b in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True):
+            for a, b in zip(_sets(batch.column(2)), _sets(batch.column(3)), strict=True):
                 shared = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(shared > 0 and 100 * shared >= MIN_PERCENT * (len(a) + len(b) - shared))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["x", "y"])
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (x, y) that are similar enough on their full sets."""
+def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of the distinct pairs (x, y) that may be similar enough by their sketches: x, y, like."""
     side = lambda id_, n, s: classes.select(F.col("rep").alias(id_), F.col("n_shingles").alias(n), F.col("sketch").alias(s))
-    likely = pairs.join(side("x", "nx", "sx"), "x").join(side("y", "ny", "sy"), "y").select("x", "y", "nx", "ny", "sx", "sy")
-    likely = checkpoint(likely.mapInArrow(_estimate_batches, "x long, y long"))
-    ids = likely.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    needed = checkpoint(texts.join(ids, "doc_id", "left_semi"))
-    side = lambda id_, t: needed.select(F.col("doc_id").alias(id_), F.col("text").alias(t))
-    both = likely.join(side("x", "tx"), "x").join(side("y", "ty"), "y").select("x", "y", "tx", "ty")
-    return checkpoint(both.mapInArrow(_verify_batches, "x long, y long"))
+    both = pairs.join(side("x", "nx", "sx"), "x").join(side("y", "ny", "sy"), "y").select("x", "y", "nx", "ny", "sx", "sy")
+    return both.mapInArrow(_estimate_batches, "x long, y long, like long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (x, y) that are similar enough on the full sets of their texts."""
+    side = lambda id_, t: texts.select(F.col("doc_id").alias(id_), F.col("text").alias(t))
+    both = pairs.join(side("x", "tx"), "x").join(side("y", "ty"), "y").select("x", "y", "tx", "ty")
+    return stored(both.mapInArrow(_verify_batches, "x long, y long"))
+
+
+def _fetched(texts: DataFrame, pairs: DataFrame, have: DataFrame | None = None) -> DataFrame:
+    """Texts of all ids in pairs, added to those that are there."""
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+    if have is not None:
+        ids = stored(ids.join(have.select("doc_id"), "doc_id", "left_anti"))
+        if ids.isEmpty():
+            return have
+    found = stored(texts.join(ids, "doc_id", "left_semi"))
+    release_shuffles(texts.sparkSession)
+    return found if have is None else have.union(found)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -164,52 +188,120 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among neighbours and then that label's own label, so the
     number of rounds grows with the logarithm of a chain's length.
     """
-    both = checkpoint(edges.select("x", "y").union(edges.select("y", "x")).where("x <> y").distinct())
-    labels = checkpoint(both.groupBy(F.col("x").alias("id")).agg(F.least("id", F.min("y")).alias("component")))
+    both = stored(edges.select("x", "y").union(edges.select("y", "x")).where("x <> y").distinct())
+    labels = stored(both.groupBy(F.col("x").alias("id")).agg(F.least("id", F.min("y")).alias("component")))
     while True:
         near = both.join(labels.select(F.col("id").alias("y"), "component"), "y").groupBy("x").agg(F.min("component").alias("near"))
         lower = labels.join(near, labels["id"] == near["x"]).select("id", "component", F.least("component", "near").alias("next"))
-        lower = checkpoint(lower)
+        lower = stored(lower)
         jump = lower.select(F.col("id").alias("next"), F.col("next").alias("far"))
-        new = checkpoint(lower.join(jump, "next").select("id", F.col("component").alias("old"), "far"))
+        new = stored(lower.join(jump, "next").select("id", F.col("component").alias("old"), "far"))
         labels = new.select("id", F.col("far").alias("component"))
         if new.where("old <> far").isEmpty():
             return labels
 
 
-def _across(members: DataFrame, classes: DataFrame, labels: DataFrame, tested: DataFrame, most: int) -> DataFrame:
-    """Pairs across components of shared buckets, not tested yet: for each class and other component the `most` likeliest."""
+def _mixed(members: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, with sketches; a large bucket is cut into blocks, a row for each pair of them."""
     own = members.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = own.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high")
-    rows = own.join(mixed.select("bucket", "size"), "bucket").join(classes, "rep")
-    # A bucket of many classes is cut into blocks, and each pair of blocks is a task of its own.
+    own = own.join(classes, "rep")
+    mixed = own.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n_shingles").alias("size")).where("low <> high")
+    rows = own.join(mixed.select("bucket", "size"), "bucket")
     rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "component", "n_shingles", "sketch")
-
-    def search(table: pa.Table) -> pa.Table:
-        rep, comp, n = (table.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
-        block, low, high = table.column("block").to_numpy(), table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        regs = _registers(table.column("sketch"))
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        out: list[np.ndarray] = []
-        for i in left:
-            js = right[(comp[right] != comp[i]) & ((rep[right] < rep[i]) | (low != high))]
-            for k in range(0, len(js), 1024):
-                part = js[k : k + 1024]
-                like = estimate(np.broadcast_to(regs[i], (len(part), REGISTERS)), regs[part], np.full(len(part), float(n[i])), n[part].astype(float))
-                part, like = part[like >= LEAST_ESTIMATE], like[like >= LEAST_ESTIMATE]
-                if len(part):
-                    out.append(np.stack([np.maximum(rep[part], rep[i]), np.minimum(rep[part], rep[i]), np.where(rep[part] > rep[i], comp[i], comp[part]), np.round(like * 1e6)], axis=1).astype(np.int64))
-        got = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
-        return pa.table({c: got[:, k] for k, c in enumerate(("x", "y", "component", "like"))})
-
-    found = rows.groupBy("bucket", "low", "high").applyInArrow(search, "x long, y long, component long, like long")
-    found = checkpoint(found.groupBy("x", "y").agg(F.first("component").alias("component"), F.max("like").alias("like")).join(tested, ["x", "y"], "left_anti"))
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("x", "component").orderBy(F.desc("like"), "y"))
-    return found.withColumn("place", place).where(F.col("place") <= most).select("x", "y")
+    low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    return stored(rows.select("bucket", "band", low, high, "block", "rep", "component", "n_shingles", "sketch"))
+
+
+def _by_task(rows: DataFrame):  # noqa: ANN202
+    """Rows grouped so that a task's group has whole buckets, or pairs of blocks, of about two blocks' size together."""
+    size = rows.agg(F.sum("n_shingles").alias("size")).first()["size"] or 0
+    return rows.groupBy(F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(max(1, int(size // (2 * BLOCK))))).alias("group"))
+
+
+def _segments(table: pa.Table) -> tuple[pa.Table, Iterator[tuple[int, int]]]:
+    table = table.sort_by([("bucket", "ascending"), ("low", "ascending"), ("high", "ascending")])
+    bucket, low, high = (table.column(c).to_numpy() for c in ("bucket", "low", "high"))
+    new = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)) + 1
+    return table, zip(np.r_[0, new], np.r_[new, len(bucket)], strict=True)
+
+
+def _joining(table: pa.Table) -> pa.Table:
+    """Likely pairs that would join all components of each bucket."""
+    table, segments = _segments(table)
+    rep, comp, n = (table.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
+    regs = _registers(table.column("sketch"))
+    found = [_forest(rep[a:b], comp[a:b], n[a:b], regs[a:b]) for a, b in segments]
+    x, y = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    return pa.table({"x": x, "y": y})
+
+
+def _open(table: pa.Table) -> pa.Table:
+    """Members that a likely partner of another component shares their bucket with, in the first band that both share."""
+    table, segments = _segments(table)
+    names = ("rep", "component", "block", "low", "high", "band")
+    rep, comp, block, low, high, band = (table.column(c).to_numpy() for c in names)
+    regs = _registers(table.column("sketch"))
+    bands = np.ascontiguousarray(regs).view(np.uint64)  # four registers of two bytes are one band
+    needed = np.zeros(len(rep), bool)
+    for a, b in segments:
+        for i in range(a, b):
+            j = np.flatnonzero((comp[a:b] != comp[i]) & ((block[a:b] != block[i]) | (low[a] == high[a]))) + a
+            j = j[(regs[j] == regs[i]).sum(axis=1) >= LEAST_ESTIMATE * REGISTERS] if len(j) else j
+            if len(j):
+                j = j[(bands[j] == bands[i]).argmax(axis=1) == band[a]]
+                needed[i] |= len(j) > 0
+                needed[j] = True
+    return table.select(["bucket", "low", "high", "block", "rep", "component", "n_shingles"]).filter(pa.array(needed))
+
+
+def _exact(table: pa.Table) -> pa.Table:
+    """Verified links that join components within each bucket: every pair across components is compared on full sets."""
+    table, segments = _segments(table)
+    rep, comp, block, low, high, n = (table.column(c).to_numpy() for c in ("rep", "component", "block", "low", "high", "n_shingles"))
+    sets = list(_sets(table.column("text")))
+    links: list[tuple[int, int]] = []
+    for a, b in segments:
+        flat, ids = np.unique(np.concatenate(sets[a:b]), return_inverse=True)
+        starts = np.concatenate(([0], np.cumsum(n[a:b])))
+        mark = np.zeros(len(flat), np.int32)
+        own = comp[a:b].copy()
+        for i in range(b - a):
+            others = np.flatnonzero((own != own[i]) & (np.arange(b - a) > i) & ((block[a:b] != block[a + i]) | (low[a] == high[a])))
+            if not len(others):
+                continue
+            mine = ids[starts[i] : starts[i + 1]]
+            mark[mine] = 1
+            shared = np.add.reduceat(mark[ids], starts[:-1])[others]
+            mark[mine] = 0
+            for j in others[100 * shared >= MIN_PERCENT * (n[a + i] + n[a + others] - shared)]:
+                if own[j] != own[i]:
+                    links.append((max(rep[a + i], rep[a + j]), min(rep[a + i], rep[a + j])))
+                    own[own == own[j]] = own[i]
+    x, y = np.array(links, np.int64).T if links else np.zeros((2, 0), np.int64)
+    return pa.table({"x": x, "y": y})
+
+
+def _forest(rep: np.ndarray, comp: np.ndarray, n: np.ndarray, regs: np.ndarray) -> np.ndarray:
+    """A spanning forest of a bucket's components by equal registers: columns (x, y), x > y, of likely pairs."""
+    size, joined = len(rep), 2 * REGISTERS
+    best, link, out = np.zeros(size, np.int16), np.zeros(size, np.int64), np.ones(size, bool)
+    edges: list[tuple[int, int]] = []
+    for _ in range(size):
+        i = int(np.where(out, best, -1).argmax())
+        if 0 < best[i] < joined:
+            edges.append((i, int(link[i])))
+        out[i] = False
+        equal = (regs[i] == regs).sum(axis=1)
+        weight = np.where(comp == comp[i], joined, np.where(equal >= LEAST_EQUAL * REGISTERS, equal, 0)).astype(np.int16)
+        closer = weight > best
+        best[closer], link[closer] = weight[closer], i
+    if not edges:
+        return np.zeros((2, 0), np.int64)
+    x, y = np.array(edges).T
+    keep = estimate(regs[x], regs[y], n[x].astype(float), n[y].astype(float)) >= LEAST_ESTIMATE
+    x, y = x[keep], y[keep]
+    return np.stack([np.maximum(rep[x], rep[y]), np.minimum(rep[x], rep[y])])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -219,26 +311,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     document. An empty table gives no rows. Columns other than doc_id and text are not looked at.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = checkpoint(texts.mapInArrow(_sketch_batches, "doc_id long, n_shingles long, d1 long, d2 long, sketch binary"))
+    rows = stored(texts.mapInArrow(_sketch_batches, "doc_id long, n_shingles long, d1 long, d2 long, sketch binary"))
     same = ["n_shingles", "d1", "d2"]
     grouped = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
-    grouped = checkpoint(grouped)
+    grouped = stored(grouped)
     classes = grouped.select("rep", "n_shingles", "sketch")
-    placed = checkpoint(classes.select("rep", "sketch").mapInArrow(_bucket_batches, "rep long, bucket long"))
+    placed = classes.select("rep", "sketch").mapInArrow(_bucket_batches, "rep long, bucket long, band int")
     hubs = placed.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = checkpoint(placed.join(hubs.select("bucket", "hub"), "bucket"))
-
-    tested = checkpoint(members.where("rep <> hub").select(F.col("rep").alias("x"), F.col("hub").alias("y")).distinct())
-    links = _verified(tested, classes, texts)
-    most = 4
-    while True:
-        labels = checkpoint(components(links))
-        more = checkpoint(_across(members.select("bucket", "rep"), classes, labels, tested, most))
-        if more.isEmpty():
-            break
-        links = checkpoint(links.union(_verified(more, classes, texts)))
-        tested = checkpoint(tested.union(more))
-        most *= 8
+    members = stored(placed.join(hubs.select("bucket", "hub"), "bucket"))
+    release_shuffles(docs.sparkSession)
+
+    # First each class with the likeliest of the smallest ones in its buckets, then whatever is still apart.
+    stars = _likely(members.where("rep <> hub").select(F.col("rep").alias("x"), F.col("hub").alias("y")).distinct(), classes)
+    tested = stored(stars.groupBy("x").agg(F.max(F.struct("like", -F.col("y"))).alias("best")).select("x", (-F.col("best.col2")).alias("y")))
+    needed = _fetched(texts, tested)
+    links = _verified(tested, needed)
+    # Then the few pairs that may join what a bucket still holds apart.
+    apart = _mixed(members, classes, components(links))
+    more = stored(_by_task(apart).applyInArrow(_joining, "x long, y long").distinct().join(tested, ["x", "y"], "left_anti"))
+    needed = _fetched(texts, more, needed)
+    links = stored(links.union(_verified(more, needed)))
+    # What is apart even now is compared on full sets, all with all across components, where each bucket lies.
+    apart = _mixed(members, classes, components(links))
+    schema = "bucket long, low int, high int, block int, rep long, component long, n_shingles long"
+    apart = stored(_by_task(apart).applyInArrow(_open, schema))
+    needed = _fetched(texts, apart.select(F.col("rep").alias("x"), F.col("rep").alias("y")), needed)
+    apart = apart.join(needed.select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"]), "rep")
+    links = stored(links.union(_by_task(apart).applyInArrow(_exact, "x long, y long")))
+    labels = components(links)
 
     named = grouped.select(*same, "rep").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
     named = named.select(*same, F.coalesce("component", "rep").alias("component"))
