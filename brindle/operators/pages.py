@@ -125,3 +125,12 @@ def promotions(segments: DataFrame, ranges: DataFrame, by: list[str], most_input
     marked = marked.withColumn("__gaps", F.sum("__gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.row_number().over(w))
     marked = marked.withColumn("__b", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.where((F.col("__gaps") == 0) & (F.col("__n") <= most_inputs) & ((F.col("__b") <= most_bytes) | (F.col("__n") == 1))).drop("__gap", "__gaps", "__n", "__b")
+
+
+def backlog(segments: DataFrame, ranges: DataFrame, by: list[str], now_ms: int) -> DataFrame:
+    """Segments (min_txid, max_txid, size, created_ms) that ranges don't cover: n, bytes, oldest_age_ms, and the lag to the highest txid covered."""
+    left = uncovered(segments, ranges, by).groupBy(*by).agg(
+        F.count("*").alias("n"), F.sum("size").alias("bytes"), (F.lit(now_ms) - F.min("created_ms")).alias("oldest_age_ms"), F.max("max_txid").alias("newest_txid")
+    )
+    done = ranges.groupBy(*by).agg(F.max("hi").alias("covered_txid"))
+    return left.join(done, by, "left").withColumn("lag", F.col("newest_txid") - F.coalesce("covered_txid", F.lit(0))).drop("newest_txid", "covered_txid")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import cron, scalars
 from brindle.functions.filters import compile_filter
-from brindle.operators import kv, lineage, logs, objects, pages, queue, timers, vector, workflow
+from brindle.operators import control, kv, lineage, logs, objects, pages, queue, timers, vector, workflow
 from brindle.plans import planners
 from brindle.plans.surface import Database
 from brindle.sources.tables import table
@@ -706,3 +706,220 @@ _surface("sql_order_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER B
 _surface("sql_correlated_scalar", "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer")
 _surface("sql_string_functions", "SELECT c_custkey, upper(c_mktsegment) AS u, substr(c_name, 1, 8) AS s, replace(c_name, '#', '-') AS r, CAST(length(c_name) AS BIGINT) AS n, trim(c_mktsegment) AS t, CAST(instr(c_name, '#') AS BIGINT) AS i FROM customer")
 _surface("sql_null_functions", "SELECT event_id, coalesce(nullif(event_type, 'view'), 'none') AS kind, CASE WHEN value BETWEEN 10 AND 20 THEN 1 ELSE 0 END AS mid FROM events")
+
+
+# Catalogue, rules and further functions -----------------------------------------------------------
+
+
+@query("SELECT l_orderkey AS worker, l_linenumber::BIGINT AS number, l_partkey AS bundle FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_linenumber = o_custkey % 4 + 1")
+def control_active_versions(spark: SparkSession, d: str) -> DataFrame:
+    workers = table(spark, d, "orders").select(F.lit("n").alias("namespace"), F.col("o_orderkey").alias("worker"), (F.col("o_custkey") % 4 + 1).alias("active"))
+    versions = table(spark, d, "lineitem").select(F.lit("n").alias("namespace"), F.col("l_orderkey").alias("worker"), F.col("l_linenumber").cast("long").alias("number"), F.col("l_partkey").alias("bundle"))
+    return control.active_versions(workers, versions).select("worker", "number", "bundle")
+
+
+@query("SELECT c_custkey AS worker, n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def control_unpinned_bindings(spark: SparkSession, d: str) -> DataFrame:
+    resources = table(spark, d, "nation").select(F.col("n_nationkey").alias("resource"), F.col("n_name").alias("title"))
+    bindings = table(spark, d, "customer").select(F.col("c_custkey").alias("worker"), F.lit("b").alias("name"), F.col("c_nationkey").alias("resource"))
+    pins = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("worker"), F.lit("b").alias("name")).distinct()
+    return control.unpinned_bindings(bindings, resources, pins).select("worker", F.col("title").alias("name"))
+
+
+@query("SELECT c_custkey AS k, 'old' AS v FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT DISTINCT o_custkey, 'new' FROM orders WHERE o_custkey % 2 = 1 OR o_custkey NOT IN (SELECT c_custkey FROM customer)")
+def control_backfill(spark: SparkSession, d: str) -> DataFrame:
+    old = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.lit("old").alias("v"))
+    return control.backfill(old, table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.lit("new").alias("v")), ["k"])
+
+
+@query("SELECT event_id, CASE WHEN user_id % 40 < 25 THEN n_name END AS worker FROM events LEFT JOIN nation ON user_id % 40 = n_nationkey")
+def control_routed(spark: SparkSession, d: str) -> DataFrame:
+    routes = table(spark, d, "nation").select(F.concat(F.lit("h"), F.col("n_nationkey")).alias("host"), F.lit("n").alias("namespace"), F.col("n_name").alias("worker"))
+    requests = table(spark, d, "events").select("event_id", F.concat(F.lit("h"), F.col("user_id") % 40).alias("host"))
+    return control.routed(requests, routes).select("event_id", "worker")
+
+
+@query("SELECT n_name AS worker, 'q' || n_regionkey AS name FROM nation")
+def control_targets(spark: SparkSession, d: str) -> DataFrame:
+    bindings = F.to_json(F.array(F.struct(F.lit("queue").alias("type"), F.concat(F.lit("q"), F.col("n_regionkey")).alias("name")), F.struct(F.lit("kv").alias("type"), F.lit("x").alias("name"))))
+    v = table(spark, d, "nation").select(F.lit("n").alias("namespace"), F.col("n_name").alias("worker"), bindings.alias("bindings"))
+    return control.targets(v, "queue").select("worker", "name")
+
+
+@query(f"WITH {MESSAGES} SELECT id FROM messages WHERE CASE WHEN id % 3 = 0 THEN lease_until_ms <= {NOW} ELSE visible_at_ms <= {NOW} END AND attempts * 3 < 10")
+def control_retryable(spark: SparkSession, d: str) -> DataFrame:
+    jobs = messages(spark, d).select("id", F.when(F.col("id") % 3 == 0, "running").when(F.col("id") % 3 == 1, "pending").otherwise("failed").alias("state"), F.col("visible_at_ms").alias("next_retry_ms"), "lease_until_ms", (F.col("attempts") * 3).alias("attempts"))
+    return jobs.where(control.retryable(NOW)).select("id")
+
+
+@query("SELECT event_id AS id, event_type FROM events ORDER BY event_id DESC LIMIT 30")
+def control_audit_tail(spark: SparkSession, d: str) -> DataFrame:
+    return control.audit_tail(table(spark, d, "events").select(F.col("event_id").alias("id"), "event_type"), 30)
+
+
+@query(
+    "WITH p AS (SELECT DISTINCT '/' || c_mktsegment || '/' || c_nationkey AS path FROM customer) SELECT path, CASE WHEN path = '/BUILDING/3' THEN 1 ELSE 2 END AS rule_no,"
+    " CASE WHEN path = '/BUILDING/3' THEN '/three' ELSE '/b/' || substr(path, 11) END AS target, CASE WHEN path = '/BUILDING/3' THEN 301 ELSE 302 END AS status FROM p WHERE path LIKE '/BUILDING/%'"
+)
+def rules_redirects(spark: SparkSession, d: str) -> DataFrame:
+    paths = table(spark, d, "customer").select(F.concat(F.lit("/"), "c_mktsegment", F.lit("/"), "c_nationkey").alias("path"))
+    rules = spark.createDataFrame([(1, "/BUILDING/3", "/three", 301), (2, "/BUILDING/*", "/b/:splat", 302), (3, "/BUILDING/4", "/never", 301)], "rule_no int, from_path string, to_path string, status int")
+    return objects.redirects(paths, rules)
+
+
+@query(
+    "WITH p AS (SELECT DISTINCT '/' || c_mktsegment || '/' || c_nationkey AS path FROM customer) SELECT path, 'x-a' AS name, CASE WHEN path LIKE '/AUTOMOBILE/%' THEN '2' ELSE '1' END AS value FROM p"
+    " UNION ALL SELECT path, 'x-b', '3' FROM p WHERE path = '/BUILDING/3'"
+)
+def rules_headers(spark: SparkSession, d: str) -> DataFrame:
+    paths = table(spark, d, "customer").select(F.concat(F.lit("/"), "c_mktsegment", F.lit("/"), "c_nationkey").alias("path"))
+    rules = spark.createDataFrame([(1, "/*", "X-A", "1"), (2, "/AUTOMOBILE/*", "x-a", "2"), (3, "/BUILDING/3", "X-B", "3")], "rule_no int, pattern string, name string, value string")
+    return objects.headers(paths, rules)
+
+
+@query("SELECT p_partkey FROM part WHERE (p_type LIKE 'S%' OR p_brand = 'Brand#12') AND NOT p_type LIKE 'STANDARD%'")
+def rules_worker_first(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    return p.where((objects.worker_first(F.col("p_type"), ["S*", "!STANDARD*"])) | (objects.worker_first(F.col("p_brand"), ["Brand#12"]) & ~scalars.segment_glob("STANDARD*", F.col("p_type")))).select("p_partkey")
+
+
+@query(f"WITH {OBJECTS} SELECT key FROM objects WHERE key >= 'a' AND key < 'b' ORDER BY key LIMIT 25")
+def objects_purge(spark: SparkSession, d: str) -> DataFrame:
+    return objects.purge(object_table(spark, d), "a", 25)
+
+
+@query(f"WITH {OBJECTS} SELECT key FROM objects WHERE md5(key) <> '0' AND (size % 2 = 0)")
+def objects_condition(spark: SparkSession, d: str) -> DataFrame:
+    o = object_table(spark, d).withColumn("etag", F.when(F.col("size") % 2 == 0, F.lit("even")))
+    return o.where(objects.condition(F.col("etag"), matches="even", does_not_match="odd", exists=True)).select("key")
+
+
+@query("SELECT doc_id AS upload_id, md5(text || lang) AS md5 FROM documents")
+def objects_complete_upload(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    parts = docs.select(F.col("doc_id").alias("upload_id"), F.lit(1).alias("part"), F.encode("text", "UTF-8").alias("data")).unionByName(docs.select(F.col("doc_id").alias("upload_id"), F.lit(2).alias("part"), F.encode("lang", "UTF-8").alias("data")))
+    return objects.complete_upload(parts).select("upload_id", "md5")
+
+
+@query(f"WITH {FRAMES} SELECT db, count(DISTINCT page_no) AS n, count(DISTINCT page_no) = max(commit_pages) AND max(page_no) <= max(commit_pages) AS complete FROM frames GROUP BY db")
+def pages_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return pages.coverage(frames(spark, d), ["db"])
+
+
+@query(
+    f"WITH {SEGMENTS}, h AS (SELECT * FROM segments WHERE size % 2 = 0), {_ISLANDS.format('h')}, u AS (SELECT s.* FROM segments s WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.db = s.db AND g.lo <= s.min_txid AND g.hi >= s.max_txid)),"
+    f" c AS (SELECT db, max(max_txid) AS top FROM h GROUP BY db) SELECT u.db, count(*) AS n, sum(size)::BIGINT AS bytes, {NOW} - min(min_txid) AS oldest_age_ms, max(max_txid) - coalesce(max(top), 0) AS lag FROM u LEFT JOIN c ON u.db = c.db GROUP BY u.db"
+)
+def segments_backlog(spark: SparkSession, d: str) -> DataFrame:
+    s = segments(spark, d).withColumn("created_ms", F.col("min_txid"))
+    covered = s.where("size % 2 = 0").select("db", F.col("min_txid").alias("lo"), F.col("max_txid").alias("hi"))
+    return pages.backlog(s, covered, ["db"], NOW)
+
+
+@query(
+    f"WITH {SEGMENTS}, h AS (SELECT * FROM segments WHERE size % 2 = 0), {_ISLANDS.format('h')}, u AS (SELECT s.* FROM segments s WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.db = s.db AND g.lo <= s.min_txid AND g.hi >= s.max_txid)),"
+    " l AS (SELECT *, CASE WHEN min_txid > lag(max_txid) OVER (PARTITION BY db ORDER BY min_txid) + 1 THEN 1 ELSE 0 END AS gap FROM u),"
+    " r AS (SELECT *, sum(gap) OVER w AS gaps, row_number() OVER (PARTITION BY db ORDER BY min_txid) AS n FROM l WINDOW w AS (PARTITION BY db ORDER BY min_txid ROWS UNBOUNDED PRECEDING)) SELECT db, min_txid FROM r WHERE gaps = 0 AND n <= 256"
+)
+def segments_promotions(spark: SparkSession, d: str) -> DataFrame:
+    s = segments(spark, d)
+    covered = s.where("size % 2 = 0").select("db", F.col("min_txid").alias("lo"), F.col("max_txid").alias("hi"))
+    return pages.promotions(s, covered, ["db"]).select("db", "min_txid")
+
+
+@query("SELECT least(greatest(max(cells) FILTER (node = 7) - ceil(sum(cells) / count(*)) - 1, 0), 5)::BIGINT AS move FROM (SELECT s_suppkey AS node, s_suppkey % 11 AS cells FROM supplier)")
+def plan_rebalance(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("node"), (F.col("s_suppkey") % 11).alias("cells"), F.lit(1).alias("weight"))
+    return planners.rebalance(nodes, "7", 5)
+
+
+@query(f"WITH {MESSAGES}, {_OUTCOMES} SELECT id FROM messages LEFT JOIN o USING (id) WHERE {_FATE} = 'dead'")
+def queue_dead_letters(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").where("event_type <> 'signup'")
+    out = e.select(F.col("event_id").alias("id"), F.when(F.col("event_type").isin("error", "view"), "retry").otherwise("ack").alias("action"), (F.col("user_id") % 60).alias("delay_s"), F.lit(1).alias("seq"))
+    m = messages(spark, d)
+    return queue.after_settle(m, queue.settle(m, out), NOW)[1].select("id")
+
+
+@query(
+    "WITH w AS (SELECT user_id AS instance_id, t.type, 's' AS name FROM (SELECT DISTINCT user_id FROM events), (VALUES ('click'), ('error')) t(type)),"
+    " e AS (SELECT user_id AS instance_id, event_type AS type, min(event_id) AS event_id FROM events WHERE event_id % 3 > 0 GROUP BY 1, 2) SELECT instance_id, event_id FROM w JOIN e USING (instance_id, type)"
+)
+def workflow_consume_events(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_id", F.col("user_id").alias("instance_id"), F.to_json(F.struct(F.col("event_type").alias("type"))).alias("payload"), (F.col("event_id") % 3 == 0).cast("int").alias("consumed"))
+    waits = e.select("instance_id").distinct().select("instance_id", F.lit("s").alias("name"), F.explode(F.array(F.lit("click"), F.lit("error"))).alias("type"))
+    return workflow.consume_events(waits, e.withColumnRenamed("event_id", "id")).select("instance_id", "event_id")
+
+
+@query("SELECT conv_id, turn, turn % 2 = 0 AS done FROM conversations")
+def workflow_replay(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("instance_id"), F.col("turn").cast("string").alias("name"), F.col("role").alias("result"), "turn")
+    return workflow.replay(c.where("turn % 2 = 0").select("instance_id", "name", "result"), c.select("instance_id", "name", "turn")).select(F.col("instance_id").alias("conv_id"), "turn", "done")
+
+
+@query("SELECT event_type AS kind, user_id % 3 = 0 AS ok, count(*) AS n FROM events GROUP BY 1, 2")
+def timers_fire_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("kind"), (F.col("user_id") % 3 == 0).alias("ok")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")
+def wake_earliest_by_scope(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("user_id").agg(F.min_by("event_id", F.struct("event_id")).alias("event_id"))
+
+
+@query("SELECT event_id FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def logs_fresh_subscriptions(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_id", F.lit("n").alias("namespace"), F.col("user_id").alias("worker"))
+    s = table(spark, d, "customer").select(F.lit("n").alias("namespace"), F.col("c_custkey").alias("worker"), F.when(F.col("c_acctbal") > 0, NOW + 1).otherwise(0).alias("expires_ms"))
+    return logs.fresh_subscriptions(e, s, NOW).select("event_id")
+
+
+@query("SELECT event_id, event_type AS level, props AS message FROM events UNION ALL SELECT event_id, 'x', NULL FROM events WHERE event_id % 2 = 0")
+def logs_ingest(spark: SparkSession, d: str) -> DataFrame:
+    line = F.struct(F.col("event_type").alias("level"), F.col("props").alias("message"))
+    wrapped = F.concat(F.lit('{"events":'), F.to_json(F.array(line)), F.lit("}"))
+    plain = F.concat(F.lit("["), F.to_json(line), F.lit(',{"level":"x"}]'))
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, plain).otherwise(wrapped).alias("value"))
+    return logs.parse_ingest(e).select("event_id", "level", "message")
+
+
+@query("SELECT event_id, ('0x' || substr(md5(event_id::VARCHAR), 20, 13))::BIGINT::DOUBLE < 0.25 * 4503599627370496 AS sampled FROM events")
+def traces_sampled(spark: SparkSession, d: str) -> DataFrame:
+    t = F.md5(F.col("event_id").cast("string"))
+    return table(spark, d, "events").select("event_id", scalars.trace_sampled(t, F.lit(None).cast("boolean"), 0.25).alias("sampled"))
+
+
+@query(
+    "SELECT event_id, CASE user_id % 3 WHEN 0 THEN 2000 WHEN 1 THEN 2000 * (user_id % 5 + 1) ELSE 2000 * pow(2, user_id % 5) END::BIGINT AS delay_ms, CASE WHEN user_id % 2 = 0 THEN 90000 ELSE 0 END::BIGINT AS text_ms,"
+    " CASE event_type WHEN 'click' THEN 'scheduled' WHEN 'view' THEN 'queue' ELSE 'fetch' END AS kind FROM events"
+)
+def functions_workflow(spark: SparkSession, d: str) -> DataFrame:
+    how = F.when(F.col("user_id") % 3 == 0, "constant").when(F.col("user_id") % 3 == 1, "linear").otherwise("exponential")
+    yes = lambda test: F.when(test, F.lit("x"))
+    return table(spark, d, "events").select(
+        "event_id", scalars.step_delay_ms(how, F.lit(2), F.col("user_id") % 5).alias("delay_ms"), scalars.text_duration_ms(F.when(F.col("user_id") % 2 == 0, "1.5 minutes").otherwise("soon")).alias("text_ms"),
+        scalars.event_kind(yes(F.col("event_type") == "click"), yes(F.col("event_type") == "view"), F.lit(None), F.lit("u")).alias("kind"),
+    )
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'text/css; charset=utf-8' WHEN 1 THEN 'image/png' ELSE 'application/octet-stream' END AS mime, 'n' AS ns, p_partkey::VARCHAR || '/x' AS id FROM part")
+def functions_paths(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    name = F.concat(F.lit("/f"), F.when(F.col("p_partkey") % 3 == 0, ".css").when(F.col("p_partkey") % 3 == 1, ".PNG").otherwise(".zzz"))
+    scope = scalars.scope_parts(F.concat(F.lit("n/c/"), F.col("p_partkey"), F.lit("/x")))
+    return p.select("p_partkey", scalars.mime_type(name).alias("mime"), scope["ns"].alias("ns"), scope["id"].alias("id"))
+
+
+@query("SELECT user_id, epoch_us(date_trunc('hour', ts)) // 1000 AS hour_ms, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_tumbling_batch(spark: SparkSession, d: str) -> DataFrame:
+    w = F.window(F.col("ts"), "1 hour")
+    return table(spark, d, "events").groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n")).select("user_id", epoch_ms("w.start").alias("hour_ms"), "n")
+
+
+_surface("sql_cross_bounded", "SELECT r_name, n.k FROM region CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) n")
+_surface("sql_lateral_values", "SELECT o_orderkey, x.k FROM orders, LATERAL (SELECT o_orderkey % 3 AS k) x WHERE x.k = 1")
+_surface("sql_running_frames", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS s3, first_value(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS first, CAST(ntile(4) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS q FROM events")
+_surface("sql_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+_surface("sql_group_concat", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+_surface("sql_math_functions", "SELECT p_partkey, abs(p_size - 25) AS a, round(sqrt(p_retailprice), 6) AS s, CAST(floor(p_retailprice / 7) AS BIGINT) AS f, CAST(p_partkey % 7 AS BIGINT) AS m, round(ln(p_retailprice), 6) AS l FROM part")
+_surface("sql_dates", "SELECT o_orderkey, CAST(extract(YEAR FROM o_orderdate) AS BIGINT) AS y, CAST(extract(MONTH FROM o_orderdate) AS BIGINT) AS m FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01'")

@@ -147,3 +147,33 @@ def test_database(spark):
     with pytest.raises(sqltext.SqlError):
         db.query("DROP TABLE users")
     assert sorted(x["statement"] for x in db.dump_rows("users").collect())[0] == "INSERT INTO \"users\" VALUES(1,'alice',30);"
+
+
+def test_wal(spark, tmp_path):
+    import shutil
+    import sqlite3
+
+    from brindle.sources.wal import read_wal
+
+    c = sqlite3.connect(tmp_path / "a.db")
+    c.execute("PRAGMA journal_mode=WAL")
+    c.execute("CREATE TABLE t (x)")
+    c.executemany("INSERT INTO t VALUES (?)", [("v" * 500,) for _ in range(40)])
+    c.commit()
+    (tmp_path / "logs").mkdir()
+    shutil.copy(tmp_path / "a.db-wal", tmp_path / "logs" / "a.wal")
+    rows = read_wal(spark, str(tmp_path / "logs")).orderBy("frame_no").collect()
+    pages_now = c.execute("PRAGMA page_count").fetchone()[0]
+    assert rows[-1]["db_size"] == pages_now and {r["page_no"] for r in rows} == set(range(1, pages_now + 1))
+    whole = (tmp_path / "logs" / "a.wal").read_bytes()
+    (tmp_path / "logs" / "a.wal").write_bytes(whole[:-10] + b"0123456789")
+    cut = read_wal(spark, str(tmp_path / "logs")).collect()
+    assert len(cut) < len(rows) and (not cut or max(cut, key=lambda r: r["frame_no"])["db_size"] > 0)
+
+
+def test_control(spark):
+    from brindle.operators import control
+
+    jobs = spark.createDataFrame([(1, "pending", 5, 0, 0), (2, "running", 0, 5, 0), (3, "failed", 5, 0, 10), (4, "running", 0, 50, 0)], "id int, state string, next_retry_ms long, lease_until_ms long, attempts int")
+    assert sorted(r["id"] for r in jobs.where(control.retryable(10)).collect()) == [1, 2]
+    assert [r["id"] for r in control.audit_tail(jobs, 2).collect()] == [3, 4]
