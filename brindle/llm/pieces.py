@@ -15,10 +15,16 @@ with a run of several marks, whose pieces tie in score, are merged directly.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
-from collections.abc import Callable, Iterable, Iterator
+import sys
+import types
+import uuid
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +35,8 @@ MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose ids a worker remembers; beyond it the memory is emptied and filled anew.
 REMEMBERED = 400_000
-CHUNK_CHARS = 1 << 20
+TRANSITIONS = 1_000_000
+CHUNK_CHARS = 1 << 22
 
 
 @dataclass
@@ -69,40 +76,113 @@ class Encoder:
         inside = "".join(map(re.escape, known))
         self.split = re.compile(f"{MARK}*[{inside}]+|{MARK}+|." if inside else f"{MARK}+|.", re.DOTALL).findall
         self.longest = max(map(len, vocabulary.scores), default=1)
-        self.ids: dict[str, tuple[int, ...]] = {}
-        self.allowed: dict[tuple[str, str], bool] = {}
+        #: Ids of each word met, as the bytes of 32-bit numbers: they join fast and the garbage collector needn't follow them.
+        self.ids: dict[str, bytes] = {}
+        self.names = {i: p for p, (i, _) in vocabulary.scores.items()}
+        self.ranks = {p: s for p, (_, s) in vocabulary.scores.items()}
+        self.numbers = {p: i for p, (i, _) in vocabulary.scores.items()}
+        #: Lengths, longest first, of the pieces that end in given three characters: few are worth looking up.
+        self.lengths: dict[str, tuple[int, ...]] = {}
+        for p in sorted(vocabulary.scores, key=len):
+            if len(p) > 2 and len(p) not in self.lengths.get(p[-3:], ()):
+                self.lengths[p[-3:]] = (len(p), *self.lengths.get(p[-3:], ()))
+        #: Whether a piece may follow another, by (number of the one + 1) << 32 | number of the other.
+        self.allowed: dict[int, bool] = {}
         self.computed = 0  # prefixes whose forward value was computed, for tests
         self._bytes = vocabulary.byte_ids
 
     def words(self, text: str) -> list[str]:
         return self.split(MARK + text.replace(" ", MARK)) if text else []
 
-    def encode(self, texts: Iterable[str]) -> list[list[int]]:
+    def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
         """Ids of each text."""
         split = [self.words(t) for t in texts]
         if len(self.ids) > REMEMBERED:
             self.ids.clear()
+        if len(self.allowed) > TRANSITIONS:
             self.allowed.clear()
-        new = set().union(*split) - self.ids.keys() if split else set()
+        get = self.ids.get
+        found = [list(map(get, words)) for words in split]
+        new: set[str] = set()
+        for words, ids in zip(split, found, strict=True):
+            if None in ids:
+                new.update(compress(words, [x is None for x in ids]))
         self._learn(sorted(new))
-        get = self.ids.__getitem__
-        return [[i for w in words for i in get(w)] for words in split]
+        know = self.ids.__getitem__
+        return [np.frombuffer(b"".join(map(know, w) if None in x else x), np.int32) for w, x in zip(split, found, strict=True)]
 
     def _learn(self, words: list[str]) -> None:
         """Depth-first over the trie of the sorted words."""
         direct = [w for w in words if len(w) > 1 and w[1] == MARK and self.v.merges]
         for w in direct:
-            self.ids[w] = tuple(self.v.scores[p][0] for p in merge(w, self.v.scores))
-        step = self._merged_step if self.v.merges else self._best_step
-        before: str = ""
-        # values[i]: of the prefix of i characters, (score, start of its last piece, last piece).
-        values: list[tuple[float, int, str]] = [(0.0, 0, "")]
+            self.ids[w] = _packed([self.numbers[p] for p in merge(w, self.v.scores)])
+        learn = self._learn_merged if self.v.merges else self._learn_best
+        learn([w for w in words if w not in self.ids])
+
+    def _learn_merged(self, words: list[str]) -> None:
+        numbers, allowed, lengths = self.numbers.get, self.allowed, self.lengths.get
+        before = ""
+        starts, pieces = [0], [-1]  # of the last piece of each prefix of the word before
         for w in words:
-            if w in self.ids:
-                continue
-            if len(w) == 1 and w not in self.v.scores:
-                self.ids[w] = self._unknown(w)
+            if len(w) == 1 and w not in self.numbers:
+                self.ids[w] = _packed(self._unknown(w))
                 continue
+            shared, n = 0, len(w)
+            for a, b in zip(before, w):
+                if a != b:
+                    break
+                shared += 1
+            del starts[shared + 1 :], pieces[shared + 1 :]
+            self.computed += n - shared
+            for end in range(shared + 1, n + 1):
+                for length in (*lengths(w[end - 3 : end], ()), 2, 1) if end > 2 else (2, 1):
+                    start = end - length
+                    if start < 0:
+                        continue
+                    piece = numbers(w[start:end])
+                    if piece is not None:
+                        last = pieces[start]
+                        key = (last + 1) << 32 | piece
+                        follows = allowed.get(key)
+                        if follows is None:
+                            follows = allowed[key] = self._follows(last, piece)
+                        if follows:
+                            starts.append(start)
+                            pieces.append(piece)
+                            break
+                else:
+                    raise AssertionError("a prefix of known characters has a merged form")
+            before, path, end = w, [], n
+            while end:
+                path.append(pieces[end])
+                end = starts[end]
+            path.reverse()
+            self.ids[w] = _packed(path)
+
+    def _follows(self, last: int, piece: int) -> bool:
+        """Merges the characters of both, as `merge` does, with lists for so short a text."""
+        one, other = self.names.get(last, ""), self.names[piece]
+        parts = list(one + other)
+        score, none = self.ranks.get, -float("inf")
+        pairs = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs:
+            best = max(pairs)
+            if best == none:
+                break
+            i = pairs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = score(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = score(parts[i] + parts[i + 1], none)
+        return parts == ([one, other] if one else [other])
+
+    def _learn_best(self, words: list[str]) -> None:
+        before = ""
+        # values[i]: of the prefix of i characters, (score, start of its last piece).
+        values: list[tuple[float, int]] = [(0.0, 0)]
+        for w in words:
             shared = 0
             for a, b in zip(before, w):
                 if a != b:
@@ -110,39 +190,21 @@ class Encoder:
                 shared += 1
             del values[shared + 1 :]
             for end in range(shared + 1, len(w) + 1):
-                values.append(step(w, end, values))
+                values.append(self._best_step(w, end, values))
                 self.computed += 1
             before = w
             path, end = [], len(w)
             while end:
-                _, start, piece = values[end]
-                path.append(piece)
+                start = values[end][1]
+                path.append(w[start:end])
                 end = start
-            out: list[int] = []
-            for p in reversed(path):
-                out.extend((self.v.scores[p][0],) if p in self.v.scores else self._unknown(p))
-            self.ids[w] = tuple(out)
+            self.ids[w] = _packed([i for p in reversed(path) for i in ((self.numbers[p],) if p in self.numbers else self._unknown(p))])
 
     def _unknown(self, text: str) -> tuple[int, ...]:
         return tuple(self._bytes[b] for b in text.encode("utf-8", "replace")) if self._bytes else (self.v.unknown,)
 
-    def _merged_step(self, w: str, end: int, values: list[tuple[float, int, str]]) -> tuple[float, int, str]:
-        scores = self.v.scores
-        for start in range(max(0, end - self.longest), end):
-            piece = w[start:end]
-            if piece in scores and self._follows(values[start][2], piece):
-                return (0.0, start, piece)
-        raise AssertionError("a prefix of known characters has a merged form")
-
-    def _follows(self, last: str, piece: str) -> bool:
-        key = (last, piece)
-        known = self.allowed.get(key)
-        if known is None:
-            known = self.allowed[key] = merge(last + piece, self.v.scores) == ([last, piece] if last else [piece])
-        return known
-
-    def _best_step(self, w: str, end: int, values: list[tuple[float, int, str]]) -> tuple[float, int, str]:
-        best: tuple[float, int, str] | None = None
+    def _best_step(self, w: str, end: int, values: list[tuple[float, int]]) -> tuple[float, int]:
+        best: tuple[float, int] | None = None
         for start in range(max(0, end - self.longest), end):
             piece = w[start:end]
             found = self.v.scores.get(piece)
@@ -153,11 +215,15 @@ class Encoder:
             else:
                 continue
             if best is None or score > best[0]:
-                best = (score, start, piece)
+                best = (score, start)
         assert best is not None
         return best
 
 
+def _packed(ids: Sequence[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 def merge(text: str, scores: dict[str, tuple[int, float]]) -> list[str]:
     """Merged form of characters: again and again the best-scored neighbours, the leftmost of equals, become one."""
     parts: list[str | None] = list(text)
@@ -201,16 +267,15 @@ class Decoder:
         return text if text.isascii() else text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
 
 
-def _pieces_of(batch: pa.RecordBatch, run: Callable[[list[str | None]], Iterator[list]], types: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
-    texts = batch.column(1).to_pylist()
+def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `CHUNK_CHARS` characters, or of one text."""
     i = 0
     while i < len(texts):
         j, size = i, 0
         while j < len(texts) and (j == i or size + len(texts[j] or "") <= CHUNK_CHARS):
             size += len(texts[j] or "")
             j += 1
-        columns = list(run(texts[i:j]))
-        yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
+        yield i, j
         i = j
 
 
@@ -222,18 +287,34 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     kind with round_trip false. Rows are independent; other columns are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(vocabulary))  # tens of thousands of pieces, whatever the corpus
+    name = f"_brindle_pieces_{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(Vocabulary(**shared.value)), Decoder(Vocabulary(**shared.value))
-
-        def columns(texts: list[str | None]) -> Iterator[list]:
-            ids = encoder.encode(t or "" for t in texts)
-            yield [len(x) for x in ids]
-            yield [None if t is None else np.array(x, np.int32) for t, x in zip(texts, ids, strict=True)]
-            yield [None if t is None else decoder.decode(x) == t for t, x in zip(texts, ids, strict=True)]
-
-        for batch in batches:
-            yield from _pieces_of(batch, columns, [pa.int64(), pa.list_(pa.int32()), pa.bool_()], ["doc_id", "n_tokens", "token_ids", "round_trip"])
+        # What a worker has learned serves its later tasks too: it stays in a module of its own.
+        kept = sys.modules.get(name)
+        if kept is None:
+            kept = sys.modules[name] = types.ModuleType(name)
+            kept.encoder = Encoder(Vocabulary(**shared.value))  # type: ignore[attr-defined]
+        encoder, decoder = kept.encoder, Decoder(Vocabulary(**shared.value))  # type: ignore[attr-defined]
+
+        gc.disable()  # what is made here holds no cycles, and what is remembered is large to walk through
+        try:
+            for batch in batches:
+                texts = batch.column(1).to_pylist()
+                for i, j in _parts(texts):
+                    part = texts[i:j]
+                    ids = encoder.encode(t or "" for t in part)
+                    same = [None if t is None else decoder.decode(x.tolist()) == t for t, x in zip(part, ids, strict=True)]
+                    sizes = np.array([len(x) for x in ids], np.int64)
+                    ends = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+                    missing = pa.array([t is None for t in part], pa.bool_())
+                    lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)), mask=missing)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(i, j - i), pa.array(sizes), lists, pa.array(same, pa.bool_())],
+                        names=["doc_id", "n_tokens", "token_ids", "round_trip"],
+                    )
+        finally:
+            gc.enable()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean")
