@@ -74,9 +74,9 @@ def trace_ids(traceparent: Column) -> Column:
 
 
 def severity(level: Column) -> Column:
-    """Number of a log level: debug 5, info and log 9, warn 13, error 17, others 9."""
+    """Number of a log level: debug 5, warn and warning 13, error 17, others 9."""
     v = F.lower(F.coalesce(level, F.lit("")))
-    return F.when(v.isin("debug", "trace"), 5).when(v.isin("warn", "warning"), 13).when(v.isin("error", "fatal"), 17).otherwise(9)
+    return F.when(v == "debug", 5).when(v.isin("warn", "warning"), 13).when(v == "error", 17).otherwise(9)
 
 
 def duration_ms(started: Column, finished: Column) -> Column:

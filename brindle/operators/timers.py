@@ -47,11 +47,6 @@ def with_tokens(timers: DataFrame) -> DataFrame:
 
 def cron_slots(minutes: DataFrame, targets: list[tuple[str, str, str]]) -> DataFrame:
     """Slots of schedules among `minutes` (ts): namespace, worker, cron, slot. A slot is made once however often it is asked for."""
-    parts = [
-        minutes.where(cron.parse(expr).column(F.col("ts"))).select(F.lit(ns).alias("namespace"), F.lit(worker).alias("worker"), F.lit(expr).alias("cron"), F.col("ts").alias("slot"))
-        for ns, worker, expr in targets
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    hits = [F.when(cron.parse(expr).column(F.col("ts")), F.struct(F.lit(ns).alias("namespace"), F.lit(worker).alias("worker"), F.lit(expr).alias("cron"))) for ns, worker, expr in targets]
+    each = minutes.select(F.col("ts").alias("slot"), F.explode(F.array_compact(F.array(*hits))).alias("t"))  # one scan for all schedules
+    return each.select("t.namespace", "t.worker", "t.cron", "slot").distinct()

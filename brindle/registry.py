@@ -640,10 +640,13 @@ def segments_cover_chain(spark: SparkSession, d: str) -> DataFrame:
 # Planners -----------------------------------------------------------------------------------------
 
 
-@query("SELECT count(*) AS nodes, coalesce(sum(s_suppkey % 40 + 1), 0)::BIGINT AS demand, least(greatest(greatest(ceil(sum(s_suppkey % 40 + 1) / 25), count(*) + 1), 1), 500)::BIGINT AS wanted FROM supplier WHERE s_acctbal > 0")
+@query(
+    "WITH l AS (SELECT count(*) AS nodes, coalesce(sum(s_suppkey % 40), 0)::BIGINT AS owned FROM supplier WHERE s_acctbal > 0), d AS (SELECT *, greatest(ceil(owned / 25), nodes + 1, 1)::BIGINT AS desired FROM l)"
+    " SELECT nodes, owned, desired, CASE WHEN desired > nodes THEN 'scale-up' WHEN desired < nodes THEN 'scale-down' ELSE 'hold' END AS action FROM d"
+)
 def plan_autoscale(spark: SparkSession, d: str) -> DataFrame:
-    leases = table(spark, d, "supplier").select((F.col("s_acctbal") > 0).cast("long").alias("expiry"), (F.col("s_suppkey") % 40).alias("owned_cells"), F.lit(1).alias("shed_cells"), F.lit(True).alias("pressured"))
-    return planners.autoscale(leases, 0, 25, 1, 500)
+    leases = table(spark, d, "supplier").select(F.when(F.col("s_acctbal") > 0, NOW).otherwise(1).alias("expiry"), (F.col("s_suppkey") % 40).alias("owned_cells"), F.lit(1).alias("shed_cells"), F.lit(False).alias("pressured"))
+    return planners.autoscale(leases, NOW, 25, 1)
 
 
 @query(
@@ -827,10 +830,15 @@ def segments_promotions(spark: SparkSession, d: str) -> DataFrame:
     return pages.promotions(s, covered, ["db"]).select("db", "min_txid")
 
 
-@query("SELECT least(greatest(max(cells) FILTER (node = 7) - ceil(sum(cells) / count(*)) - 1, 0), 5)::BIGINT AS move FROM (SELECT s_suppkey AS node, s_suppkey % 11 AS cells FROM supplier)")
+@query(
+    "WITH n AS (SELECT s_suppkey AS node, CASE WHEN s_suppkey = 7 THEN 60 ELSE s_suppkey % 11 END AS cells FROM supplier), t AS (SELECT sum(cells) / count(*) AS share FROM n),"
+    " m AS (SELECT least(floor(max(cells - share) FILTER (node = 7)), floor(max(share * 0.98 - cells) FILTER (node <> 7)), 12) AS move FROM n, t),"
+    " i AS (SELECT c_name AS scope, row_number() OVER (ORDER BY c_name) AS place FROM customer) SELECT scope FROM i, m WHERE place <= move"
+)
 def plan_rebalance(spark: SparkSession, d: str) -> DataFrame:
-    nodes = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("node"), (F.col("s_suppkey") % 11).alias("cells"), F.lit(1).alias("weight"))
-    return planners.rebalance(nodes, "7", 5)
+    cells = F.when(F.col("s_suppkey") == 7, 60).otherwise(F.col("s_suppkey") % 11)
+    nodes = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("node"), cells.alias("cells"), F.lit(1).alias("weight"))
+    return planners.rebalance(nodes, "7", table(spark, d, "customer").select(F.col("c_name").alias("scope")), 12)
 
 
 @query(f"WITH {MESSAGES}, {_OUTCOMES} SELECT id FROM messages LEFT JOIN o USING (id) WHERE {_FATE} = 'dead'")

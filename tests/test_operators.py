@@ -120,6 +120,26 @@ def test_hot_set(spark):
     assert [r["host"] for r in planners.hot_set(near, ["worker"], 1, 1).collect()] == ["d"]
 
 
+def test_choose_hot():
+    pick = lambda rates, before, most, swaps=1: planners.choose_hot(rates, {h for h in rates if rates[h] > 0}, before, most, swaps, 2.0)
+    assert pick({"a": 10, "b": 20, "c": 100}, ["a", "b"], 2) == ["b", "c"]
+    assert pick({"a": 100, "b": 90, "c": 80, "d": 70, "e": 71}, ["a", "b", "c", "d"], 4) == ["a", "b", "c", "d"]
+    assert pick({"a": 5, "b": 4}, [], 3) == ["a", "b"] and pick({"a": 5}, ["y", "z"], 2) == ["a"] and pick({"a": 5}, ["z"], 0) == []
+
+
+def test_rebalance_and_autoscale(spark):
+    nodes = spark.createDataFrame([("s", 10, 1), ("p", 0, 1)], "node string, cells long, weight long")
+    idle = spark.createDataFrame([(f"c{k}",) for k in range(10)], "scope string")
+    assert [r["scope"] for r in planners.rebalance(nodes, "s", idle, 100).collect()] == ["c0", "c1", "c2", "c3"]
+    assert planners.rebalance(nodes, "s", idle.where("scope < 'c3'"), 100).count() == 3
+    assert planners.rebalance(nodes, "p", idle, 100).count() == 0 and planners.rebalance(nodes.where("node = 's'"), "s", idle, 100).count() == 0
+    leases = spark.createDataFrame([(0, 150, 0, True), (5, 90, 0, False)], "expiry long, owned_cells long, shed_cells long, pressured boolean")
+    advice = planners.autoscale(leases, 10, 100, 1)
+    assert tuple(advice.first()) == (1, 150, 2, "scale-up")
+    assert planners.with_cooldown(advice, "scale-down", 0, 10, 100).first()["action"] == "hold"
+    assert planners.with_cooldown(advice, "scale-up", 0, 10, 100).first()["action"] == "scale-up"
+
+
 def test_token_bucket():
     ok, left, _ = states.admit([0, 0, 0, 1000, 1000], 1.0, 2.0)
     assert ok == [True, True, False, True, False] and left == 0
