@@ -54,9 +54,9 @@ def timer_token(scope: Column, kind: Column, due_ms: Column, occurrence: Column)
 
 
 def content_type(kind: Column) -> Column:
-    """json, text, bytes and v8 as they are; empty is json; anything else is null."""
+    """Short names of the usual types (json for an empty one); others trimmed and in lower case."""
     k = F.lower(F.trim(F.coalesce(kind, F.lit(""))))
-    return F.when(k == "", F.lit("json")).when(k.isin("json", "text", "bytes", "v8"), k)
+    return F.when(k.isin("", "application/json"), "json").when(k == "text/plain", "text").when(k == "application/octet-stream", "bytes").otherwise(k)
 
 
 def normal_host(host: Column) -> Column:
@@ -85,13 +85,13 @@ def duration_ms(started: Column, finished: Column) -> Column:
 
 
 def default_outcome(outcome: Column, status: Column) -> Column:
-    """The outcome; without one, from the status: 500 and above is exception, else ok."""
-    return F.when(F.coalesce(outcome, F.lit("")) != "", outcome).when(status >= 500, F.lit("exception")).otherwise(F.lit("ok"))
+    """The outcome; without one, from the status: 500 and above is error, else ok."""
+    return F.when(F.coalesce(outcome, F.lit("")) != "", outcome).when(status >= 500, F.lit("error")).otherwise(F.lit("ok"))
 
 
 def truncate_utf8(text: Column, most_bytes: int) -> Column:
-    """At most `most_bytes` bytes, whole characters, `...` where something was cut."""
-    room = max(0, most_bytes - 3)
+    """At most `most_bytes` bytes, whole characters, `...` where something was cut and there is room for it."""
+    room = most_bytes - 3 if most_bytes > 3 else max(0, most_bytes)
     pieces = F.split(text, "")
     fits = F.aggregate(
         pieces,
@@ -101,12 +101,13 @@ def truncate_utf8(text: Column, most_bytes: int) -> Column:
         ).otherwise(F.struct(s["t"].alias("t"), F.lit(-1).alias("n"))),
         lambda s: s["t"],
     )
-    return F.when(F.octet_length(text) <= most_bytes, text).otherwise(F.concat(fits, F.lit("...")))
+    return F.when(F.octet_length(text) <= most_bytes, text).otherwise(F.concat(fits, F.lit("..." if most_bytes > 3 else "")))
 
 
 def join_arguments(arguments: Column) -> Column:
-    """Arguments of a log line, joined by blanks; nulls read `null`."""
-    return F.array_join(F.transform(arguments, lambda a: F.coalesce(a, F.lit("null"))), " ")
+    """JSON arguments of a log line, joined by blanks: strings without quotes, others as JSON; broken ones are left out."""
+    known = F.filter(arguments, lambda a: F.try_parse_json(a).isNotNull())
+    return F.array_join(F.transform(known, lambda a: F.when(F.ltrim(a).startswith('"'), F.get_json_object(a, "$")).otherwise(a)), " ")
 
 
 _FNV_PRIME, _FNV_START = 16777619, 2166136261
@@ -129,10 +130,30 @@ def minute_bucket(ms: Column) -> Column:
 
 # Types by file extension.
 MIME = {
-    "html": "text/html; charset=utf-8", "htm": "text/html; charset=utf-8", "css": "text/css; charset=utf-8", "js": "application/javascript; charset=utf-8",
-    "json": "application/json; charset=utf-8", "txt": "text/plain; charset=utf-8", "svg": "image/svg+xml", "png": "image/png", "jpg": "image/jpeg",
-    "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "ico": "image/x-icon", "wasm": "application/wasm", "xml": "application/xml", "pdf": "application/pdf",
-}
+    "html": "text/html; charset=utf-8",
+    "htm": "text/html; charset=utf-8",
+    "js": "text/javascript; charset=utf-8",
+    "mjs": "text/javascript; charset=utf-8",
+    "css": "text/css; charset=utf-8",
+    "json": "application/json; charset=utf-8",
+    "txt": "text/plain; charset=utf-8",
+    "xml": "application/xml",
+    "svg": "image/svg+xml",
+    "png": "image/png",
+    "jpg": "image/jpeg",
+    "jpeg": "image/jpeg",
+    "gif": "image/gif",
+    "webp": "image/webp",
+    "avif": "image/avif",
+    "ico": "image/x-icon",
+    "woff": "font/woff",
+    "woff2": "font/woff2",
+    "wasm": "application/wasm",
+    "map": "application/json",
+    "pdf": "application/pdf",
+    "mp4": "video/mp4",
+    "webm": "video/webm",
+}
 
 
 def mime_type(path: Column) -> Column:
@@ -155,20 +176,25 @@ def step_delay_ms(kind: Column, seconds: Column, attempts: Column) -> Column:
 
 
 def text_duration_ms(text: Column) -> Column:
-    """`10 seconds`, `1.5h`, `250` (ms) as milliseconds; what can't be read, and negatives, are 0."""
-    shape = r"^\s*([0-9]+(?:\.[0-9]+)?)\s*(ms|millisecond|milliseconds|s|sec|second|seconds|m|min|minute|minutes|h|hour|hours|d|day|days|w|week|weeks)?\s*$"
-    t = F.lower(F.coalesce(text, F.lit("")))
+    """`10 seconds`, `1.5h` as milliseconds; what can't be read, and negatives, are 0.
+
+    The unit is needed. Its first letter decides, but for `ms`: `milliseconds` written out counts as minutes.
+    """
+    shape = r"^(-?[0-9]+(?:\.[0-9]+)?)\s*(ms|milliseconds?|s|seconds?|m|minutes?|h|hours?|d|days?)$"
+    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
     unit, number = F.regexp_extract(t, shape, 2), F.regexp_extract(t, shape, 1).try_cast("double")
     first = F.substring(unit, 1, 1)
-    factor = F.when(unit.rlike("^(ms|milli)|^$"), 1).when(first == "s", 1000).when(first == "m", 60_000).when(first == "h", 3_600_000).when(first == "d", 86_400_000).otherwise(604_800_000)
-    return F.when(t.rlike(shape), F.round(number * factor)).otherwise(F.lit(0.0)).cast("long")
+    factor = F.when(unit == "ms", 1).when(first == "s", 1000).when(first == "m", 60_000).when(first == "h", 3_600_000).otherwise(86_400_000)
+    return F.when(t.rlike(shape), F.greatest(F.round(number * factor), F.lit(0.0))).otherwise(F.lit(0.0)).cast("long")
 
 
-def event_kind(cron: Column, queue: Column, workflow: Column, url: Column) -> Column:
-    return F.when(cron.isNotNull(), "scheduled").when(queue.isNotNull(), "queue").when(workflow.isNotNull(), "workflow").when(url.isNotNull(), "fetch").otherwise("")
+def event_kind(url: Column, cron: Column, queue: Column, method: Column) -> Column:
+    """fetch, scheduled, queue or workflow, by what an event carries; else empty."""
+    by_method = F.when(method == "handleQueue", "queue").when(method == "handleScheduled", "scheduled").when(method == "handleRun", "workflow").otherwise("")
+    return F.when(url.isNotNull(), "fetch").when(cron.isNotNull(), "scheduled").when(queue.isNotNull(), "queue").otherwise(by_method)
 
 
-SECRET_HEADERS = ("authorization", "cookie", "proxy-authorization", "x-api-key", "set-cookie")
+SECRET_HEADERS = ("authorization", "cookie", "proxy-authorization", "x-api-key")
 
 
 def redact_headers(headers: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,13 +34,14 @@ def roll_up(objects: DataFrame, *, prefix: str = "", delimiter: str = "/", after
     return rows.select(name.alias("name"), (at > 0).alias("is_prefix")).distinct().orderBy("name", "is_prefix").limit(limit)
 
 
-def condition(etag: Column, matches: str | None = None, does_not_match: str | None = None, exists: bool | None = None) -> Column:
-    """Whether an object, null if there is none, meets all given conditions."""
+def condition(etag: Column, matches: list[str] | None = None, does_not_match: list[str] | None = None, exists: bool | None = None) -> Column:
+    """Whether an object, with a null etag if there is none, meets all given conditions. Etags may stand in quotes."""
+    bare = lambda tags: [t.strip('"') for t in tags or []]
     test = F.lit(True)
-    if matches is not None:
-        test = test & F.coalesce(etag == matches, F.lit(False))
-    if does_not_match is not None:
-        test = test & F.coalesce(etag != does_not_match, F.lit(True))
+    if matches:
+        test = test & F.coalesce(etag.isin(bare(matches)), F.lit(False))
+    if does_not_match:
+        test = test & ~F.coalesce(etag.isin(bare(does_not_match)), F.lit(False))
     if exists is not None:
         test = test & (etag.isNotNull() if exists else etag.isNull())
     return test
@@ -99,37 +102,70 @@ def byte_range(content: Column, offset: int, length: int) -> Column:
     return F.substring(content, offset + 1, length)
 
 
+MOST_RULES = 2000
+
+
+def parse_redirects(text: str) -> list[tuple[int, str, str, int]]:
+    """Rules (rule_no, from_path, to_path, status) of a file with one rule a line; 302 where no status can be read."""
+    rules = []
+    for line in text.split("\n"):
+        parts = line.split()
+        if len(parts) >= 2 and not parts[0].startswith("#"):
+            status = int(parts[2]) if len(parts) > 2 and parts[2].isdigit() else 0
+            rules.append((len(rules) + 1, parts[0], parts[1], status or 302))
+    return rules
+
+
+def parse_headers(text: str) -> list[tuple[int, str, str, str]]:
+    """Rules (rule_no, pattern, name, value) of a file: a pattern, then its headers on indented lines."""
+    rules, pattern = [], None
+    for line in text.replace("\r\n", "\n").split("\n"):
+        if not line.strip() or line.strip().startswith("#"):
+            continue
+        if not line[0].isspace():
+            pattern = line.strip()
+        elif pattern is not None and line.find(":") > 0:
+            name, _, value = line.partition(":")
+            rules.append((len(rules) + 1, pattern, name.strip(), value.strip()))
+    return rules
+
+
+def _few(rules: DataFrame) -> DataFrame:
+    """A rule set is a small, hand-written file: its size is checked before it is sent to all."""
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"at most {MOST_RULES} rules")
+    return F.broadcast(rules)
+
+
 def redirects(paths: DataFrame, rules: DataFrame) -> DataFrame:
-    """First matching rule of each path. Rules: rule_no, from_path, to_path, status; a trailing star is a prefix whose rest is `:splat`."""
+    """First matching rule of each path. A rule ending in a star matches a prefix; the first star of its target stands for the rest."""
     star = F.col("from_path").endswith("*")
-    stem = F.expr("left(from_path, length(from_path) - 1)")
-    hit = F.when(star, F.col("path").startswith(stem)).otherwise(F.col("path") == F.col("from_path"))
-    rest = F.when(star, F.expr("substring(path, length(from_path))")).otherwise(F.lit(""))
-    target = F.replace(F.col("to_path"), F.lit(":splat"), rest)
-    # A rule set is a small, hand-written file: its size is checked before it is sent to all.
-    if rules.limit(2001).count() > 2000:
-        raise ValueError("at most 2000 rules")
-    found = paths.select("path").distinct().join(F.broadcast(rules), hit).groupBy("path").agg(F.min(F.struct("rule_no", target.alias("target"), "status")).alias("r"))
+    hit = F.when(star, F.col("path").startswith(F.expr("left(from_path, length(from_path) - 1)"))).otherwise(F.col("path") == F.col("from_path"))
+    filled = F.expr("IF(instr(to_path, '*') = 0, to_path, concat(left(to_path, instr(to_path, '*') - 1), substring(path, length(from_path)), substring(to_path, instr(to_path, '*') + 1)))")
+    target = F.when(star, filled).otherwise(F.col("to_path"))
+    found = paths.select("path").distinct().join(_few(rules), hit).groupBy("path").agg(F.min(F.struct("rule_no", target.alias("target"), "status")).alias("r"))
     return found.select("path", F.col("r.rule_no").alias("rule_no"), F.col("r.target").alias("target"), F.col("r.status").alias("status"))
 
 
 def headers(paths: DataFrame, rules: DataFrame) -> DataFrame:
-    """Headers of each path: all matching rules (rule_no, pattern, name, value) apply, of equal names the last counts."""
-    star = F.col("pattern").endswith("*")
-    hit = F.when(star, F.col("path").startswith(F.expr("left(pattern, length(pattern) - 1)"))).otherwise(F.col("path") == F.col("pattern"))
-    if rules.limit(2001).count() > 2000:
-        raise ValueError("at most 2000 rules")
-    found = paths.select("path").distinct().join(F.broadcast(rules), hit)
+    """Headers of each path: all matching rules (rule_no, pattern, name, value) apply, of equal names the last counts.
+
+    `/*` and `*` match all, a pattern ending in `/*` what lies under it, any other the very path.
+    """
+    pattern = F.col("pattern")
+    under_it = pattern.endswith("/*") & F.col("path").startswith(F.expr("left(pattern, length(pattern) - 1)"))
+    hit = pattern.isin("/*", "*") | under_it | (F.col("path") == pattern)
+    found = paths.select("path").distinct().join(_few(rules), hit)
     return found.groupBy("path", F.lower("name").alias("name")).agg(F.max_by("value", "rule_no").alias("value"))
 
 
 def worker_first(path: Column, patterns: list[str]) -> Column:
-    """Whether patterns send a path to code: a matching `!` pattern says no at once, else any match says yes."""
+    """Whether patterns send a path to code: a matching `!` pattern says no, else any match says yes. A plain pattern matches what lies under it too."""
 
     def hit(p: str) -> Column:
-        return path.startswith(p[:-1]) if p.endswith("*") else path == p
+        return path.startswith(p[:-1]) if p.endswith("*") else (path == p) | path.startswith(p + "/")
+
+    def some(tests: list[Column]) -> Column:
+        return F.coalesce(reduce(lambda a, b: a | b, tests, F.lit(False)), F.lit(False))
 
-    no = [hit(p[1:]) for p in patterns if p.startswith("!")]
-    yes = [hit(p) for p in patterns if not p.startswith("!")]
-    some = lambda tests: F.lit(False) if not tests else F.coalesce(F.greatest(*[t.cast("int") for t in tests], F.lit(0)) == 1, F.lit(False))
-    return some(yes) & ~some(no)
+    return some([hit(p) for p in patterns if p and not p.startswith("!")]) & ~some([hit(p[1:]) for p in patterns if p.startswith("!")])

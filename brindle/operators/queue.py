@@ -19,12 +19,12 @@ def claimable(now_ms: int) -> Column:
 
 
 def status(messages: DataFrame, now_ms: int) -> DataFrame:
-    """depth, visible, leased, oldest_visible_ms, max_attempts; zeros for an empty queue."""
+    """depth, visible, leased, oldest_visible_ms (of all messages), max_attempts; zeros for an empty queue."""
     return messages.agg(
         F.count("*").alias("depth"),
         F.count_if(claimable(now_ms)).alias("visible"),
         F.count_if(F.col("lease_until_ms") > now_ms).alias("leased"),
-        F.coalesce(F.min(F.when(claimable(now_ms), F.col("visible_at_ms"))), F.lit(0)).alias("oldest_visible_ms"),
+        F.coalesce(F.min("visible_at_ms"), F.lit(0)).alias("oldest_visible_ms"),
         F.coalesce(F.max("attempts"), F.lit(0)).cast("long").alias("max_attempts"),
     )
 
@@ -35,10 +35,14 @@ def peek(messages: DataFrame, after: object | None = None, limit: int = 10) -> D
 
 
 def batch_ready(messages: DataFrame, now_ms: int, size: int, wait_ms: int) -> DataFrame:
-    """One row `ready`: enough are visible, or one is a retry, or the oldest has waited; without a wait any will do."""
-    seen = messages.where(claimable(now_ms)).agg(F.count("*").alias("n"), F.max("attempts").alias("tries"), F.min("visible_at_ms").alias("oldest"))
-    any_ = F.col("n") > 0
-    ready = any_ & ((F.lit(wait_ms) <= 0) | (F.col("n") >= size) | (F.coalesce("tries", F.lit(0)) > 0) | (F.lit(now_ms) - F.col("oldest") >= wait_ms))
+    """One row `ready`: of the first `size` claimable messages one is a retry, or there are that many, or the oldest has waited.
+
+    Without a wait a batch is always ready. Sizes outside 1 to 100 count as 10.
+    """
+    size = size if 1 <= size <= MOST_CLAIMED else USUAL_CLAIM
+    first = messages.where(claimable(now_ms)).orderBy("visible_at_ms", "id").limit(size)
+    seen = first.agg(F.count("*").alias("n"), F.max("attempts").alias("tries"), F.min("visible_at_ms").alias("oldest"))
+    ready = (F.lit(wait_ms) <= 0) | (F.col("n") >= size) | (F.col("tries") > 0) | (F.lit(now_ms) - F.col("oldest") >= wait_ms)
     return seen.select(F.coalesce(ready, F.lit(False)).alias("ready"))
 
 
@@ -88,6 +92,12 @@ def settle(claimed: DataFrame, outcomes: DataFrame, max_retries: int = USUAL_RET
     return claimed.join(told, "id", "left").withColumn("fate", fate)
 
 
+def settle_failed(claimed: DataFrame, delay_s: int = 0, max_retries: int = USUAL_RETRIES) -> DataFrame:
+    """Fate of claimed messages whose dispatch failed as a whole: all are retried, tired ones are dead letters."""
+    limit = max_retries if max_retries > 0 else USUAL_RETRIES
+    return claimed.withColumn("delay_s", F.lit(delay_s)).withColumn("fate", F.when(F.col("attempts") > limit, "dead").otherwise("retry"))
+
+
 def after_settle(messages: DataFrame, settled: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
     """The queue without acknowledged and dead messages, retried ones visible after their delay; and the dead letters."""
     back = settled.where("fate = 'retry'").withColumn("visible_at_ms", (F.lit(now_ms) + F.coalesce("delay_s", F.lit(0)) * 1000).cast("long")).withColumn("lease_until_ms", F.lit(0).cast("long"))

@@ -302,7 +302,7 @@ _CLAIMABLE = f"visible_at_ms <= {NOW} AND lease_until_ms <= {NOW}"
 
 @query(
     f"WITH {MESSAGES} SELECT count(*) AS depth, count(*) FILTER ({_CLAIMABLE}) AS visible, count(*) FILTER (lease_until_ms > {NOW}) AS leased,"
-    f" coalesce(min(visible_at_ms) FILTER ({_CLAIMABLE}), 0) AS oldest_visible_ms, coalesce(max(attempts), 0) AS max_attempts FROM messages"
+    f" coalesce(min(visible_at_ms), 0) AS oldest_visible_ms, coalesce(max(attempts), 0) AS max_attempts FROM messages"
 )
 def queue_status(spark: SparkSession, d: str) -> DataFrame:
     return queue.status(messages(spark, d), NOW)
@@ -318,7 +318,7 @@ def queue_peek(spark: SparkSession, d: str) -> DataFrame:
     return queue.peek(messages(spark, d), 500, 10).select("id", "visible_at_ms")
 
 
-@query(f"WITH {MESSAGES} SELECT count(*) > 0 AS ready FROM messages WHERE {_CLAIMABLE}")
+@query(f"WITH {MESSAGES}, f AS (SELECT * FROM messages WHERE {_CLAIMABLE} ORDER BY visible_at_ms, id LIMIT 10) SELECT coalesce(count(*) >= 10 OR max(attempts) > 0 OR {NOW} - min(visible_at_ms) >= 5000, false) AS ready FROM f")
 def queue_batch_ready(spark: SparkSession, d: str) -> DataFrame:
     return queue.batch_ready(messages(spark, d), NOW, 10, 5000)
 
@@ -556,7 +556,7 @@ def logs_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT event_id, CASE WHEN event_type = 'error' THEN 17 WHEN event_type = 'click' THEN 13 ELSE 9 END AS severity, CASE WHEN event_type = 'error' THEN 'exception' ELSE 'ok' END AS outcome,"
+    "SELECT event_id, CASE WHEN event_type = 'error' THEN 17 WHEN event_type = 'click' THEN 13 ELSE 9 END AS severity, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS outcome,"
     " CASE WHEN user_id % 2 = 0 THEN floor(value)::BIGINT END AS duration_ms, CASE WHEN event_id % 2 = 0 THEN lpad(event_id::VARCHAR, 32, '0') END AS trace_id FROM events WHERE event_id > 0"
 )
 def logs_enrich(spark: SparkSession, d: str) -> DataFrame:
@@ -766,7 +766,7 @@ def control_audit_tail(spark: SparkSession, d: str) -> DataFrame:
 )
 def rules_redirects(spark: SparkSession, d: str) -> DataFrame:
     paths = table(spark, d, "customer").select(F.concat(F.lit("/"), "c_mktsegment", F.lit("/"), "c_nationkey").alias("path"))
-    rules = spark.createDataFrame([(1, "/BUILDING/3", "/three", 301), (2, "/BUILDING/*", "/b/:splat", 302), (3, "/BUILDING/4", "/never", 301)], "rule_no int, from_path string, to_path string, status int")
+    rules = spark.createDataFrame([(1, "/BUILDING/3", "/three", 301), (2, "/BUILDING/*", "/b/*", 302), (3, "/BUILDING/4", "/never", 301)], "rule_no int, from_path string, to_path string, status int")
     return objects.redirects(paths, rules)
 
 
@@ -794,7 +794,7 @@ def objects_purge(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {OBJECTS} SELECT key FROM objects WHERE md5(key) <> '0' AND (size % 2 = 0)")
 def objects_condition(spark: SparkSession, d: str) -> DataFrame:
     o = object_table(spark, d).withColumn("etag", F.when(F.col("size") % 2 == 0, F.lit("even")))
-    return o.where(objects.condition(F.col("etag"), matches="even", does_not_match="odd", exists=True)).select("key")
+    return o.where(objects.condition(F.col("etag"), matches=['"even"'], does_not_match=["odd"], exists=True)).select("key")
 
 
 @query("SELECT doc_id AS upload_id, md5(text || lang) AS md5 FROM documents")
@@ -899,14 +899,14 @@ def traces_sampled(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "SELECT event_id, CASE user_id % 3 WHEN 0 THEN 2000 WHEN 1 THEN 2000 * (user_id % 5 + 1) ELSE 2000 * pow(2, user_id % 5) END::BIGINT AS delay_ms, CASE WHEN user_id % 2 = 0 THEN 90000 ELSE 0 END::BIGINT AS text_ms,"
-    " CASE event_type WHEN 'click' THEN 'scheduled' WHEN 'view' THEN 'queue' ELSE 'fetch' END AS kind FROM events"
+    " CASE event_type WHEN 'click' THEN 'scheduled' WHEN 'view' THEN 'queue' WHEN 'error' THEN 'workflow' ELSE 'fetch' END AS kind FROM events"
 )
 def functions_workflow(spark: SparkSession, d: str) -> DataFrame:
     how = F.when(F.col("user_id") % 3 == 0, "constant").when(F.col("user_id") % 3 == 1, "linear").otherwise("exponential")
     yes = lambda test: F.when(test, F.lit("x"))
     return table(spark, d, "events").select(
         "event_id", scalars.step_delay_ms(how, F.lit(2), F.col("user_id") % 5).alias("delay_ms"), scalars.text_duration_ms(F.when(F.col("user_id") % 2 == 0, "1.5 minutes").otherwise("soon")).alias("text_ms"),
-        scalars.event_kind(yes(F.col("event_type") == "click"), yes(F.col("event_type") == "view"), F.lit(None), F.lit("u")).alias("kind"),
+        scalars.event_kind(yes(~F.col("event_type").isin("click", "view", "error")), yes(F.col("event_type") == "click"), yes(F.col("event_type") == "view"), F.lit("handleRun")).alias("kind"),
     )
 
 

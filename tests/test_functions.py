@@ -81,7 +81,11 @@ def test_scalars(spark):
     assert one(spark, scalars.truncate_utf8(F.lit("short"), 8)) == "short"
     assert one(spark, scalars.text_duration_ms(F.lit("10 seconds"))) == 10_000
     assert one(spark, scalars.text_duration_ms(F.lit("1.5h"))) == 5_400_000
-    assert one(spark, scalars.text_duration_ms(F.lit("nonsense"))) == 0
+    for text, ms in (("nonsense", 0), ("250", 0), ("-5 s", 0), ("250ms", 250), ("2 milliseconds", 120_000), ("1 day", 86_400_000)):
+        assert one(spark, scalars.text_duration_ms(F.lit(text))) == ms
+    assert one(spark, scalars.content_type(F.lit(" Text/Plain"))) == "text" and one(spark, scalars.content_type(F.lit("V8"))) == "v8"
+    assert one(spark, scalars.join_arguments(F.array(F.lit('"a b"'), F.lit('{"k":1}'), F.lit("nope"), F.lit("3")))) == 'a b {"k":1} 3'
+    assert one(spark, scalars.truncate_utf8(F.lit("abcdef"), 2)) == "ab"
     assert one(spark, scalars.step_delay_ms(F.lit("exponential"), F.lit(2), F.lit(3))) == 16_000
     assert one(spark, scalars.mime_type(F.lit("/a/b.HTML"))) == "text/html; charset=utf-8"
     assert one(spark, scalars.trace_ids(F.lit("00-" + "0" * 32 + "-00f067aa0ba902b7-01"))) is None

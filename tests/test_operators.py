@@ -86,12 +86,16 @@ def test_usage_is_floored(spark):
 
 def test_rules(spark):
     paths = spark.createDataFrame([("/a/b",), ("/x",)], "path string")
-    rules = spark.createDataFrame([(1, "/a/*", "/z/:splat", 302), (2, "/a/b", "/no", 301)], "rule_no int, from_path string, to_path string, status int")
+    rules = spark.createDataFrame([(1, "/a/*", "/z/*", 302), (2, "/a/b", "/no", 301)], "rule_no int, from_path string, to_path string, status int")
     assert objects.redirects(paths, rules).collect() == [("/a/b", 1, "/z/b", 302)]
     heads = spark.createDataFrame([(1, "/*", "X-A", "1"), (2, "/a/*", "x-a", "2")], "rule_no int, pattern string, name string, value string")
     assert sorted(map(tuple, objects.headers(paths, heads).collect())) == [("/a/b", "x-a", "2"), ("/x", "x-a", "1")]
     got = paths.select("path", objects.worker_first(F.col("path"), ["/*", "!/a/*"]).alias("w")).collect()
     assert {r["path"]: r["w"] for r in got} == {"/a/b": False, "/x": True}
+    assert paths.where(objects.worker_first(F.col("path"), ["/a"])).count() == 1
+    assert objects.parse_redirects("# c\n/a/* /b/* 301\n/x /y nope\nbroken\n") == [(1, "/a/*", "/b/*", 301), (2, "/x", "/y", 302)]
+    assert objects.parse_headers("/*\n  X-A: 1\n# c\n/b\n\tY: 2:3\n") == [(1, "/*", "X-A", "1"), (2, "/b", "Y", "2:3")]
+    assert spark.range(1).select(objects.condition(F.lit(None).cast("string"), does_not_match=["x"])).first()[0] is True
 
 
 def test_pages_shrink(spark):
