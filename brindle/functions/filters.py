@@ -33,6 +33,8 @@ def parse(text: str | dict[str, Any]) -> dict[str, dict[str, Any]]:
         tree = json.loads(raw)
     except ValueError as e:
         raise FilterError("a filter is a JSON object") from e
+    if tree is None:
+        return {}
     if not isinstance(tree, dict):
         raise FilterError("a filter is a JSON object")
     out: dict[str, dict[str, Any]] = {}
@@ -60,8 +62,6 @@ def _path(key: str) -> str:
 
 
 def _printed(value: Any) -> str:
-    if value is None:
-        return "<nil>"
     if isinstance(value, bool):
         return "true" if value else "false"
     if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
@@ -89,7 +89,7 @@ def _key(metadata: Column, key: str, ops: dict[str, Any]) -> Column:
         kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(value, "$", "double")
     )
     string = F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
-    printed = F.when(null, F.lit("<nil>")).otherwise(F.try_variant_get(value, "$", "string"))
+    printed = F.when(~null, F.try_variant_get(value, "$", "string"))
 
     def equal(x: Any) -> Column:
         if x is None:

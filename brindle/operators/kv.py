@@ -84,25 +84,24 @@ def put_if(kv: DataFrame, batch: DataFrame, now_ms: int, condition: str) -> Data
     return put(kv, batch.join(keys, "key", "left_anti" if condition == "absent" else "left_semi"), now_ms)
 
 
-def increment(kv: DataFrame, batch: DataFrame, now_ms: int) -> DataFrame:
-    """Adds `delta` (batch: key, delta) to decimal text values; a missing or expired key is 0.
+def increment(kv: DataFrame, batch: DataFrame, now_ms: int, expires_ms: int = 0) -> DataFrame:
+    """Adds `delta` (batch: key, delta) to decimal text values; a missing or expired key counts from 0.
 
-    A value that is no whole number, or a sum beyond 64 bits, raises when the result is computed.
+    The row's expiry becomes `expires_ms` (now, if that has passed); its metadata stays, even of an expired row. A
+    value that is no whole number, or a sum beyond 64 bits, raises when the result is computed.
     """
     deltas = batch.groupBy("key").agg(F.sum(F.col("delta").cast("decimal(38,0)")).alias("delta"))
-    old = live(kv, now_ms)
-    text = F.col("value").cast("string")
-    number = F.when(F.col("value").isNull(), F.lit(0)).otherwise(
-        F.when(text.rlike(r"^-?[0-9]{1,19}$"), text.cast("decimal(38,0)")).otherwise(F.raise_error(F.lit("a value is no whole number")).cast("decimal(38,0)"))
-    )
+    text = F.trim(F.when(ttl_live(F.col("expires_ms"), now_ms), F.col("value").cast("string")))
+    fail = lambda why: F.raise_error(F.lit(why)).cast("decimal(38,0)")
+    number = F.when(text.isNull(), F.lit(0)).otherwise(F.when(text.rlike(r"^[+-]?[0-9]{1,19}$"), text.cast("decimal(38,0)")).otherwise(fail("a value is no whole number")))
     total = number.cast("decimal(38,0)") + F.col("delta")
-    fits = F.when(total.between(-INT64 - 1, INT64), total).otherwise(F.raise_error(F.lit("a sum is beyond 64 bits")).cast("decimal(38,0)"))
-    changed = deltas.join(old, "key", "left").select(
+    fits = F.when(total.between(-INT64 - 1, INT64), total).otherwise(fail("a sum is beyond 64 bits"))
+    changed = deltas.join(kv, "key", "left").select(
         "key",
         fits.cast("long").cast("string").cast("binary").alias("value"),
         "meta",
         F.lit(now_ms).cast("long").alias("updated_ms"),
-        F.coalesce("expires_ms", F.lit(0)).cast("long").alias("expires_ms"),
+        F.lit(max(expires_ms, now_ms) if expires_ms > 0 else 0).cast("long").alias("expires_ms"),
     )
     return kv.join(deltas.select("key"), "key", "left_anti").select(*changed.columns).unionByName(changed)
 

@@ -288,11 +288,11 @@ def kv_put_if_absent(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"WITH {KV}, b AS (SELECT c_name AS key, sum(o_orderkey)::BIGINT AS delta FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_name)"
-    f" SELECT kv.key, CASE WHEN delta IS NULL THEN value WHEN {LIVE} THEN (value::BIGINT + delta)::VARCHAR ELSE delta::VARCHAR END AS value FROM kv LEFT JOIN b ON kv.key = b.key"
+    f" SELECT kv.key, CASE WHEN delta IS NULL THEN value WHEN {LIVE} THEN (value::BIGINT + delta)::VARCHAR ELSE delta::VARCHAR END AS value, meta, CASE WHEN delta IS NULL THEN expires_ms ELSE 0 END AS expires_ms FROM kv LEFT JOIN b ON kv.key = b.key"
 )
 def kv_increment(spark: SparkSession, d: str) -> DataFrame:
     batch = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_name").alias("key"), F.col("o_orderkey").alias("delta"))
-    return kv.increment(kv_table(spark, d), batch, NOW).select("key", F.col("value").cast("string").alias("value"))
+    return kv.increment(kv_table(spark, d), batch, NOW).select("key", F.col("value").cast("string").alias("value"), "meta", "expires_ms")
 
 
 # Queues -------------------------------------------------------------------------------------------
