@@ -41,7 +41,7 @@ LEAST_ESTIMATE = 0.6
 #: A share of equal registers below which a pair's estimate can't reach that, so it isn't worked out.
 LEAST_EQUAL = 0.45
 #: Shingles of the members of a bucket that are compared with one another in one task; larger buckets are cut into blocks.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 _random = np.random.Generator(np.random.PCG64(7))
 _MULTIPLY = _random.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
