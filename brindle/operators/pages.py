@@ -59,9 +59,10 @@ def page_runs(pages: DataFrame, by: list[str]) -> DataFrame:
 
 
 def prefix_within_bytes(rows: DataFrame, by: list[str], order: str, size: str, most: int) -> DataFrame:
-    """The rows of each group, in order, whose sizes before them are under a budget: at least the first."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("__b", F.coalesce(F.sum(size).over(w), F.lit(0))).where(F.col("__b") < most).drop("__b")
+    """The longest prefix of each group, in order, whose sizes fit a budget: at least the first row, however large."""
+    w = Window.partitionBy(*by).orderBy(order)
+    kept = rows.withColumn("__b", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.row_number().over(w))
+    return kept.where((F.col("__b") <= most) | (F.col("__n") == 1)).drop("__b", "__n")
 
 
 def coverage(pages: DataFrame, by: list[str], lock_page: int = 0) -> DataFrame:
@@ -75,8 +76,9 @@ def coverage(pages: DataFrame, by: list[str], lock_page: int = 0) -> DataFrame:
 
 
 def cover_chain(segments: DataFrame, by: list[str]) -> DataFrame:
-    """Greedy chain over segments (is_snapshot, min_txid, max_txid): the newest snapshot, then again and again the
-    segment that begins inside or next to the chain and reaches farthest. A gap before the end shows as `gap`.
+    """Greedy chain over segments (is_snapshot, min_txid, max_txid): the newest snapshot (without one, nothing, so that
+    the first transaction is next), then again and again the segment that begins inside or next to the chain and
+    reaches farthest. A gap before the end shows as `gap` in the last step.
 
     Each step depends on the one before, so each group is walked in one task; a group is the segment
     list of one database.

@@ -626,7 +626,7 @@ def pages_runs(spark: SparkSession, d: str) -> DataFrame:
     return pages.page_runs(frames(spark, d).where("seq % 40 = 1"), ["db"])
 
 
-@query(f"WITH {SEGMENTS}, w AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY db ORDER BY min_txid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM segments) SELECT db, min_txid FROM w WHERE b < 1000")
+@query(f"WITH {SEGMENTS}, w AS (SELECT *, sum(size) OVER o AS b, row_number() OVER o AS n FROM segments WINDOW o AS (PARTITION BY db ORDER BY min_txid ROWS UNBOUNDED PRECEDING)) SELECT db, min_txid FROM w WHERE b <= 1000 OR n = 1")
 def segments_within_bytes(spark: SparkSession, d: str) -> DataFrame:
     return pages.prefix_within_bytes(segments(spark, d), ["db"], "min_txid", "size", 1000).select("db", "min_txid")
 
