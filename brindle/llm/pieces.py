@@ -70,6 +70,8 @@ class Encoder:
         self.v = vocabulary
         if any(MARK in p.lstrip(MARK) for p in vocabulary.scores):
             raise ValueError("a piece holds a mark behind other characters: its words can't be told apart")
+        if max((i for i, _ in vocabulary.scores.values()), default=0) >= 1 << 20:
+            raise ValueError("a vocabulary has less than 2 ** 20 pieces")
         known = sorted({c for p in vocabulary.scores for c in p} - {MARK})
         if vocabulary.merges and any(c not in vocabulary.scores for c in known):
             raise ValueError("a character of a piece is no piece itself")
@@ -85,8 +87,8 @@ class Encoder:
         self.lengths: dict[str, tuple[int, ...]] = {}
         for p in sorted(vocabulary.scores, key=len):
             if len(p) > 2 and len(p) not in self.lengths.get(p[-3:], ()):
-                self.lengths[p[-3:]] = (len(p), *self.lengths.get(p[-3:], ()))
-        #: Whether a piece may follow another, by (number of the one + 1) << 32 | number of the other.
+                self.lengths[p[-3:]] = (len(p), *self.lengths.get(p[-3:], (2, 1)))
+        #: Whether a piece may follow another, by number of the one (-1: none) << 20 | number of the other.
         self.allowed: dict[int, bool] = {}
         self.computed = 0  # prefixes whose forward value was computed, for tests
         self._bytes = vocabulary.byte_ids
@@ -120,7 +122,8 @@ class Encoder:
         learn([w for w in words if w not in self.ids])
 
     def _learn_merged(self, words: list[str]) -> None:
-        numbers, allowed, lengths = self.numbers.get, self.allowed, self.lengths.get
+        numbers, allowed, lengths, short = self.numbers.get, self.allowed, self.lengths.get, (2, 1)
+        known = allowed.get
         before = ""
         starts, pieces = [0], [-1]  # of the last piece of each prefix of the word before
         for w in words:
@@ -135,17 +138,13 @@ class Encoder:
             del starts[shared + 1 :], pieces[shared + 1 :]
             self.computed += n - shared
             for end in range(shared + 1, n + 1):
-                for length in (*lengths(w[end - 3 : end], ()), 2, 1) if end > 2 else (2, 1):
+                for length in lengths(w[end - 3 : end], short) if end > 2 else short:
                     start = end - length
-                    if start < 0:
-                        continue
-                    piece = numbers(w[start:end])
-                    if piece is not None:
-                        last = pieces[start]
-                        key = (last + 1) << 32 | piece
-                        follows = allowed.get(key)
+                    if start >= 0 and (piece := numbers(w[start:end])) is not None:
+                        key = pieces[start] << 20 | piece
+                        follows = known(key)
                         if follows is None:
-                            follows = allowed[key] = self._follows(last, piece)
+                            follows = allowed[key] = self._follows(pieces[start], piece)
                         if follows:
                             starts.append(start)
                             pieces.append(piece)
