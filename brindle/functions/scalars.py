@@ -65,14 +65,23 @@ def normal_host(host: Column) -> Column:
 
 
 def trace_ids(traceparent: Column) -> Column:
-    """struct(trace_id, span_id), or null: version 2 hex, 32, 16, flags; zero ids are invalid."""
-    shape = r"^[0-9a-f]{2}-([0-9a-f]{32})-([0-9a-f]{16})-[0-9a-f]{2}$"
-    t = F.lower(traceparent)
+    """struct(trace_id, span_id), or null: version 00, 32 and 16 digits in lower case, two digits of flags; zero ids are invalid."""
+    shape = r"^00-([0-9a-f]{32})-([0-9a-f]{16})-[0-9a-fA-F]{2}$"
+    t = F.trim(traceparent)
     trace, span = F.regexp_extract(t, shape, 1), F.regexp_extract(t, shape, 2)
     good = t.rlike(shape) & (trace != "0" * 32) & (span != "0" * 16)
     return F.when(good, F.struct(trace.alias("trace_id"), span.alias("span_id")))
 
 
+def message_fingerprint(body: Column, kind: Column, metadata: Column) -> Column:
+    """`v1:` and the SHA-256 of the JSON list of body (hex), short content type and metadata with its keys in order."""
+    canonical = F.coalesce(F.to_json(F.parse_json(metadata)), F.lit("null"))
+    for plain, escaped in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026")):
+        canonical = F.replace(canonical, F.lit(plain), F.lit(escaped))
+    text = F.concat(F.lit('["'), F.lower(F.hex(body)), F.lit('","'), content_type(kind), F.lit('",'), canonical, F.lit("]"))
+    return F.concat(F.lit("v1:"), F.sha2(text, 256))
+
+
 def severity(level: Column) -> Column:
     """Number of a log level: debug 5, warn and warning 13, error 17, others 9."""
     v = F.lower(F.coalesce(level, F.lit("")))

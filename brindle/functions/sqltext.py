@@ -64,6 +64,9 @@ def validate(text: str, parameters: list | None = None, *, one: bool = True) ->
     bad = next((t for k, t in tokens(text) if k == "word" and t.lower() in FORBIDDEN), None)
     if bad:
         raise SqlError(f"{bad} is not allowed")
+    words = [t.lower() for k, t in tokens(text) if k == "word"]
+    if any(a == "create" and b in ("temp", "temporary") for a, b in zip(words, words[1:])):
+        raise SqlError("temporary objects are not supported")
     n = len(statements(text))
     if n == 0 or (one and n > 1):
         raise SqlError("exactly one statement is expected")

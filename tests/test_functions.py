@@ -99,11 +99,20 @@ def test_scalars(spark):
     assert scalars.prefix_successor("\U0010ffff") is None
 
 
+def test_fingerprint(spark):
+    import hashlib
+
+    got = one(spark, scalars.message_fingerprint(F.lit(b"hi"), F.lit("text/plain"), F.lit('{"b":1,"a":"<x>"}')))
+    assert got == "v1:" + hashlib.sha256(b'["6869","text",{"a":"\\u003cx\\u003e","b":1}]').hexdigest()
+    none = one(spark, scalars.message_fingerprint(F.lit(b""), F.lit(""), F.lit(None).cast("string")))
+    assert none == "v1:" + hashlib.sha256(b'["","json",null]').hexdigest()
+
+
 def test_sql_text():
     assert len(sqltext.statements("select ';' ; -- a;b\n select 1 /* ; */;;")) == 2
     assert sqltext.is_read_only("  select 1") and not sqltext.is_read_only("with x as (select 1) select 1")
     assert sqltext.returns_rows("insert into t values (1) returning a")
-    for bad in ("", "attach 'x' as y", "select 1; select 2", "begin"):
+    for bad in ("", "create temp table x as select 1", "attach 'x' as y", "select 1; select 2", "begin"):
         with pytest.raises(sqltext.SqlError):
             sqltext.validate(bad)
     assert sqltext.literal("a'b") == "'a''b'" and sqltext.literal(b"\x01") == "X'01'" and sqltext.identifier('a"b') == '"a""b"'
