@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose ids a worker remembers; beyond it the memory is emptied and filled anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 TRANSITIONS = 1_000_000
 CHUNK_CHARS = 1 << 22
 
