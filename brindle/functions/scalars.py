@@ -13,8 +13,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine; a zero vector on either side is at distance 1."""
-    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(size == 0, F.lit(1.0)).otherwise(1 - dot(a, b) / size)
+    return F.coalesce(1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.when(a.isNotNull() & b.isNotNull(), F.lit(1.0)))
 
 
 def euclidean_distance(a: Column, b: Column) -> Column:

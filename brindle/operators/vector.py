@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.filters import compile_filter
-from brindle.functions.scalars import cosine_distance, euclidean_distance, score
+from brindle.functions.scalars import score
 
 MOST, MOST_WITH_PAYLOAD, USUAL = 100, 50, 5
 OVERSAMPLE = 4
@@ -36,11 +39,37 @@ def clamp_k(k: int, payload: bool = False) -> int:
     return min(k if k > 0 else USUAL, MOST_WITH_PAYLOAD if payload else MOST)
 
 
+def distances(values: pa.Array, query: np.ndarray, metric: str) -> pa.Array:
+    """Distances of a batch of vectors, in double precision; null where a vector is null, of another length or holds a null.
+
+    A zero vector on either side is at cosine distance 1.
+    """
+    values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+    sizes = pc.fill_null(pc.list_value_length(values), -1).to_numpy(zero_copy_only=False)
+    good = sizes == len(query)
+    flat = values.filter(pa.array(good)).flatten() if not good.all() else values.flatten()
+    x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(query))
+    if metric == "cosine":
+        size = np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(query @ query)
+        found = np.where(size == 0, 1.0, 1 - np.divide(x @ query, size, out=np.zeros(len(x)), where=size != 0))
+    else:
+        found = np.sqrt(np.einsum("ij,ij->i", x - query, x - query))
+    out = np.full(len(sizes), np.nan)
+    out[good] = found
+    return pa.array(out, mask=np.isnan(out))
+
+
 def distance(config: Config, values: Column, query: list[float]) -> Column:
+    """Distance to one query. Arrow batches go to numpy: array functions run interpreted and take ten times as long."""
     if len(query) != config.dimensions:
         raise ValueError(f"a query has {config.dimensions} components")
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return cosine_distance(values, q) if config.metric == "cosine" else euclidean_distance(values, q)
+    q, metric = np.array(query, dtype=np.float64), config.metric
+
+    @F.arrow_udf("double")
+    def to_query(batch: pa.Array) -> pa.Array:
+        return distances(batch, q, metric)
+
+    return to_query(values)
 
 
 def query(
@@ -70,7 +99,7 @@ def query(
     kept = ["id", *(["values"] if values else []), *(["metadata"] if metadata or mode == "compat" and test is not None else [])]
     near = rows.select(*kept, distance(config, F.col("values"), vector).alias("distance"))
     first = min(k * OVERSAMPLE, MOST * OVERSAMPLE) if test is not None and mode == "compat" else k
-    near = near.orderBy("distance", "id").limit(first)
+    near = near.where(F.col("distance").isNotNull()).orderBy("distance", "id").limit(first)
     if test is not None and mode == "compat":
         near = near.where(test).orderBy("distance", "id").limit(k)
     shown = [c for c in ("values", "metadata") if (values if c == "values" else metadata)]
