@@ -19,6 +19,7 @@ import gc
 import heapq
 import re
 import sys
+import threading
 import types
 import uuid
 from array import array
@@ -33,10 +34,11 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words whose ids a worker remembers; beyond it the memory is emptied and filled anew.
+#: Words whose ids, and transitions whose verdicts, a worker remembers; beyond it the memory is emptied and filled anew.
 REMEMBERED = 1_000_000
-TRANSITIONS = 1_000_000
-CHUNK_CHARS = 1 << 22
+#: Seconds after its last task at which a worker forgets what it has learned.
+IDLE_S = 5.0
+CHUNK_CHARS = 1 << 21
 
 
 @dataclass
@@ -66,8 +68,8 @@ class Vocabulary:
 class Encoder:
     """Encodes texts. One per worker: it remembers words and allowed transitions."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
+    def __init__(self, vocabulary: Vocabulary, remembered: int = REMEMBERED):
+        self.v, self.remembered = vocabulary, remembered
         if any(MARK in p.lstrip(MARK) for p in vocabulary.scores):
             raise ValueError("a piece holds a mark behind other characters: its words can't be told apart")
         if max((i for i, _ in vocabulary.scores.values()), default=0) >= 1 << 20:
@@ -99,9 +101,9 @@ class Encoder:
     def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
         """Ids of each text."""
         split = [self.words(t) for t in texts]
-        if len(self.ids) > REMEMBERED:
+        if len(self.ids) > self.remembered:
             self.ids.clear()
-        if len(self.allowed) > TRANSITIONS:
+        if len(self.allowed) > self.remembered:
             self.allowed.clear()
         get = self.ids.get
         found = [list(map(get, words)) for words in split]
@@ -278,24 +280,26 @@ def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def encode_texts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def encode_texts(docs: DataFrame, vocabulary: Vocabulary, *, remembered: int = REMEMBERED) -> DataFrame:
     """Out: doc_id, n_tokens, token_ids, round_trip (whether decoding gives the text back).
 
     A null text has null ids and round_trip, and 0 tokens; an empty one has no ids. A text that
     holds the mark itself decodes to a blank in its place, as in the model's own library, and is the only
-    kind with round_trip false. Rows are independent; other columns are not looked at.
+    kind with round_trip false. Rows are independent; other columns are not looked at. `remembered` trades a
+    worker's memory for time and changes no result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(vocabulary))  # tens of thousands of pieces, whatever the corpus
-    name = f"_brindle_pieces_{uuid.uuid4().hex}"
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # What a worker has learned serves its later tasks too: it stays in a module of its own.
-        kept = sys.modules.get(name)
-        if kept is None:
-            kept = sys.modules[name] = types.ModuleType(name)
-            kept.encoder = Encoder(Vocabulary(**shared.value))  # type: ignore[attr-defined]
+        # What a worker has learned serves its later tasks too: it stays in a module of its own, one encoder
+        # at a time, and goes when no task has come for a while.
+        kept = sys.modules.setdefault("_brindle_pieces", types.ModuleType("_brindle_pieces"))
+        if (timer := getattr(kept, "timer", None)) is not None:
+            timer.cancel()
+        if getattr(kept, "name", None) != name:
+            kept.__dict__.update(name=name, encoder=Encoder(Vocabulary(**shared.value), remembered))
         encoder, decoder = kept.encoder, Decoder(Vocabulary(**shared.value))  # type: ignore[attr-defined]
-
         gc.disable()  # what is made here holds no cycles, and what is remembered is large to walk through
         try:
             for batch in batches:
@@ -314,6 +318,9 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                     )
         finally:
             gc.enable()
+            kept.timer = threading.Timer(IDLE_S, kept.__dict__.update, kwargs={"name": None, "encoder": None})  # type: ignore[attr-defined]
+            kept.timer.daemon = True  # type: ignore[attr-defined]
+            kept.timer.start()  # type: ignore[attr-defined]
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean")
