@@ -222,7 +222,8 @@ def vector_delete(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def vector_ann(spark: SparkSession, d: str) -> DataFrame:
     index = vectors(spark, d).select("id", "ns", "values")
-    return _rounded(vector.InvertedLists(index, CONFIG, cells=8).query(_first_vector(index), 10, probe=4))
+    near = vector.InvertedLists(index, CONFIG).query_many(index.where("id % 50 = 0"), 10)
+    return near.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
 @query("SELECT event_id FROM events WHERE (props->>'$.k')::INT >= 50 AND (props->>'$.k')::INT <> 60")

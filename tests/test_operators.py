@@ -52,6 +52,30 @@ def test_ann_recall(spark):
     assert hit == total  # all cells probed: exact
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_ann_recall_of_the_query_and_the_default(spark, sf):
+    import numpy as np
+
+    from brindle import registry
+
+    d = f"/root/testdata/{sf}"
+    index = registry.vectors(spark, d).select("id", "ns", "values")
+    rows = index.select("id", "values").collect()
+    x = np.array([r["values"] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.array([r["id"] for r in rows])
+    asked = [k for k, i in enumerate(ids) if i % 50 == 0]
+    want = {int(ids[k]): set(ids[np.argsort(-(x @ x[k]), kind="stable")[:10]].tolist()) for k in asked}
+    got = {i: set() for i in want}
+    for r in registry.QUERIES["vector_ann"](spark, d).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert all(len(v) == 10 for v in got.values())
+    assert sum(len(got[i] & want[i]) for i in want) >= 0.9 * 10 * len(want)
+    lists = vector.InvertedLists(index, registry.CONFIG)
+    one = {i: {r["id"] for r in lists.query(x[list(ids).index(i)].tolist(), 10).collect()} for i in list(want)[:10]}
+    assert sum(len(one[i] & want[i]) for i in one) >= 0.9 * 10 * len(one)
+
+
 def test_queue(spark):
     m = spark.createDataFrame([("a", 0, 0, 0), ("b", 60_000, 0, 0), ("c", 0, 0, 0)], "id string, visible_at_ms long, attempts int, lease_until_ms long")
     claimed = queue.claim(m, NOW, 30_000, 1)
