@@ -37,7 +37,7 @@ CARD = (
     r"|(?<![0-9A-Za-z]|[0-9][.,])[0-9]{4}(?: [0-9]{4} [0-9]{4} |-[0-9]{4}-[0-9]{4}-)[0-9]{4}(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z]|[0-9][.,])[0-9]{4}(?: [0-9]{6} |-[0-9]{6}-)[0-9]{5}(?![0-9A-Za-z])"
 )
-SECRET = r"(?<![A-Za-z])(?i:token|secret|password|api[_-]?key|key)(?-i)\s{0,3}[=:]\s{0,3}\"?[0-9a-f]{32,128}(?![0-9A-Za-z])"
+SECRET = r"(?<![A-Za-z])(?i:token|secret|password|api[_-]?key|key)(?-i)\s{0,3}[=:]\s{0,3}\"?[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])"
 ANY = "|".join((EMAIL, SECRET, IPV4, PHONE, SSN, ISO_DATE, DAY_DATE, CARD))
 
 KINDS = ("email", "secret", "ip", "phone", "ssn", "date", "card")
@@ -136,16 +136,24 @@ def _date(key: str) -> str:
 
 
 def _secret(key: str) -> str:
-    """Permutes the hexadecimal digits in two halves; each round adds a keyed stream to one, digit by digit."""
-    stream = f"concat(sha2(concat('{key}|secret|', length(v), '|', r, '|', HALF), 512), sha2(concat('{key}|more|', length(v), '|', r, '|', HALF), 512))"
+    """Permutes the hexadecimal digits in two halves; each round adds a keyed stream to one, digit by digit.
+
+    Digits are permuted as lower-case ones and written in the case read: upper-case where all letters are, else each place
+    in its own case, which in a mixed value also enters the hash so that values differing in case only stay different.
+    """
+    stream = f"concat(sha2(concat('{key}|secret|', length(v), c, '|', r, '|', HALF), 512), sha2(concat('{key}|more|', length(v), c, '|', r, '|', HALF), 512))"
     add = "array_join(transform(sequence(1, length(GETS)), i -> substring('0123456789abcdef', 1 + (CAST(conv(substring(GETS, i, 1), 16, 10) AS INT) + CAST(conv(substring(f, i, 1), 16, 10) AS INT)) % 16, 1)), '')"
     step = lambda gets, gives: _let(stream.replace("HALF", gives), "f", add.replace("GETS", gets))
     walk = (
         f"aggregate(sequence(1, {ROUNDS}), named_struct('a', substring(v, 1, length(v) div 2), 'b', substring(v, length(v) div 2 + 1)), (s, r) -> IF(r % 2 = 1,"
         f" named_struct('a', {step('s.a', 's.b')}, 'b', s.b), named_struct('a', s.a, 'b', {step('s.b', 's.a')})), s -> concat(s.a, s.b))"
     )
-    value = "regexp_extract(m, '[0-9a-f]{32,128}$', 0)"
-    return _let(value, "v", f"concat(substring(m, 1, length(m) - length(v)), {walk})")
+    value = "regexp_extract(m, '[0-9A-Fa-f]{32,128}$', 0)"
+    places = "IF(w IN (lower(w), upper(w)), '', concat('|', regexp_replace(regexp_replace(w, '[A-F]', '^'), '[^^]', '.')))"
+    cased = "array_join(transform(sequence(1, length(x)), i -> IF(substring(c, i + 1, 1) = '^', upper(substring(x, i, 1)), substring(x, i, 1))), '')"
+    written = f"CASE WHEN w = lower(w) THEN x WHEN w = upper(w) THEN upper(x) ELSE {cased} END"
+    new = _let("lower(w)", "v", _let(places, "c", _let(walk, "x", written)))
+    return _let(value, "w", f"concat(substring(m, 1, length(m) - length(w)), {new})")
 
 
 def _email(key: str) -> str:

@@ -250,6 +250,17 @@ def test_pseudonyms(spark):
     assert re.fullmatch(r'token = "[0-9a-f]{40}"', got[6]["text"]) and got[6]["text"] != texts[6]
 
 
+def test_secrets_in_any_case(spark):
+    low = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    values = [low, low.upper(), low[:20].upper() + low[20:], low[:-1] + "F"]
+    df = spark.createDataFrame([(k, f'TOKEN = "{v}"') for k, v in enumerate(values)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymize(df, key="k").collect()}
+    new = [got[k]["text"][9:-1] for k in range(4)]
+    assert all(got[k]["n_secret"] == 1 and got[k]["text"][:9] == 'TOKEN = "' and re.fullmatch("[0-9A-Fa-f]{40}", new[k]) for k in range(4))
+    assert new[0] == new[0].lower() and new[1] == new[0].upper() and len({v.lower() for v in new[2:]} | {new[0]}) == 3
+    assert not {v.lower() for v in new} & {low}
+
+
 def test_pseudonyms_are_permutations(spark):
     dates = spark.range(3000).selectExpr("id AS doc_id", "concat('d ', date_add(DATE'1999-01-01', CAST(id AS INT))) AS text")
     got = pii.pseudonymize(dates).agg(F.countDistinct("text"), F.sum("n_date")).first()
