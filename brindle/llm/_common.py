@@ -88,17 +88,47 @@ def small_or_as_is(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
-def sample_texts(docs: DataFrame, ids: DataFrame, most_bytes: int = 64 << 20) -> list:
-    """Rows (text, ...) of a bounded sample of ids, on the driver: in order of a hash of the id, up to `most_bytes` of text.
+def level(sizes: list[int], budget: int) -> int | None:
+    """The largest c for which the sum of min(size, c) is within a budget; None if the sizes are."""
+    if sum(sizes) <= budget:
+        return None
+    left = budget
+    for k, size in enumerate(sorted(sizes)):
+        if size * (len(sizes) - k) > left:
+            return left // (len(sizes) - k)
+        left -= size
+    return None
+
+
+#: Pieces, evenly spaced, that stand for a text above its share of a sample's bytes.
+PIECES = 8
 
-    `ids` has at most a few thousand rows, by its parameter. Rows beyond the byte budget are left out whole.
-    """
-    from pyspark.sql import Window
 
+def sample_texts(docs: DataFrame, ids: DataFrame, by: str, most_bytes: int = 64 << 20) -> list:
+    """Rows (text, ...) of a bounded sample of ids, on the driver, in order of a hash of the id: every text of the sample has a row.
+
+    `ids` has at most a few thousand rows, by its parameter. Texts come whole if all fit into `most_bytes`. Else the classes
+    (values of `by`) share the bytes alike, and so do the texts of a class, and what smaller ones leave goes to larger ones;
+    a text above its share comes as `PIECES` evenly spaced pieces of it, about as many bytes as its share in all.
+    Rows that share an id count as one, the shortest.
+    """
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c for c in ("lang",) if c in docs.columns]).join(
         F.broadcast(ids), "doc_id"
     )
-    chosen = chosen.where(F.col("text").isNotNull()).dropDuplicates(["doc_id"])
-    order = Window.orderBy(F.xxhash64(F.lit("order"), "doc_id"), "doc_id")
-    chosen = chosen.withColumn("bytes", F.sum(F.octet_length("text")).over(order)).where(F.col("bytes") <= most_bytes)
-    return chosen.orderBy("bytes", "doc_id").drop("bytes").collect()
+    chosen = chosen.where(F.col("text").isNotNull()).withColumn("bytes", F.octet_length("text"))
+    first = F.struct(*[F.col(c).isNull() for c in ("lang",) if c in docs.columns], "bytes", F.xxhash64("text"), *[c for c in ("lang",) if c in docs.columns])
+    sizes: dict = {}
+    for r in chosen.groupBy("doc_id").agg(F.min_by(F.struct(by, "bytes"), first).alias("one")).select("one.*").collect():
+        sizes.setdefault(r[by], []).append(r["bytes"])
+    most = level([sum(x) for x in sizes.values()], most_bytes)
+    caps = {v: level(x, most) for v, x in sizes.items()} if most is not None else {}
+    cap = F.lit(None).cast("long")
+    for v, c in caps.items():
+        if c is not None:
+            cap = F.when(F.col(by).eqNullSafe(F.lit(v)), F.lit(c).cast("long")).otherwise(cap)
+    size, of = "length(text)", f"greatest(1, length(text) * share div (bytes * {PIECES}))"
+    cut = f"array_join(transform(sequence(0, {PIECES - 1}), i -> substring(text, CAST(1 + i * ({size} - {of}) div {PIECES - 1} AS INT), CAST({of} AS INT))), ' ')"
+    kept = chosen.withColumn("share", cap).withColumn("first", first).withColumn("text", F.expr(f"IF(bytes > share, {cut}, text)"))
+    others = [c for c in chosen.columns if c not in ("doc_id", "bytes")]
+    rows = kept.groupBy("doc_id").agg(F.min_by(F.struct(*others), F.col("first")).alias("one")).select("doc_id", "one.*")
+    return rows.orderBy(F.xxhash64(F.lit("order"), "doc_id"), "doc_id").collect()

@@ -91,7 +91,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model of rows whose crc32(doc_id) mod 4 is not 2. Without labels of both classes, every score is their share."""
     ids = bounded_labels(labels, "quality", modulus=FOLDS, held_out=HELD_OUT, per_class=PER_CLASS)
-    rows = sample_texts(docs, ids)
+    rows = sample_texts(docs, ids, "label")
     texts = {v: [r["text"] for r in rows if r["label"] == v] for v in (0, 1)}
     if not texts[0] or not texts[1]:
         return Model(b"\n" * 16, b"\n" * 16, 0.0, 4.0 if texts[1] else -4.0 if texts[0] else 0.0)

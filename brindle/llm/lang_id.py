@@ -106,7 +106,7 @@ def train(docs: DataFrame) -> dict:
     known = known.withColumn("place", part).where(F.col("place") <= PER_LANGUAGE)
     place = F.row_number().over(Window.partitionBy("lang").orderBy(*rank))
     ids = known.withColumn("place", place).where(F.col("place") <= PER_LANGUAGE).orderBy("place", "lang").limit(IN_ALL).select("doc_id")
-    rows = [r for r in sample_texts(docs, ids.distinct(), 24 << 20) if r["lang"] is not None and any(c.isalpha() for c in r["text"])]
+    rows = [r for r in sample_texts(docs, ids.distinct(), "lang", 24 << 20) if r["lang"] is not None and any(c.isalpha() for c in r["text"])]
     names = sorted({r["lang"] for r in rows})
     families = sorted({family(n) for n in names})
     if not names:

@@ -189,7 +189,7 @@ def _guess(first: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> np.ndarr
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     """Parameters, from rows whose crc32(doc_id) mod 3 is not 1. Without labels of both classes, scores follow the one there is."""
     ids = bounded_labels(labels, "toxic", modulus=FOLDS, held_out=HELD_OUT, per_class=PER_CLASS)
-    rows = sample_texts(docs, ids)
+    rows = sample_texts(docs, ids, "label")
     y = np.array([r["label"] for r in rows], dtype=np.float32)
     network = Network()
     words = []
