@@ -30,6 +30,7 @@ BLOCK_TAGS = frozenset(
     " th thead tr ul button label textarea head title".split()
 )
 HIDDEN_TAGS = frozenset("script style noscript template svg math iframe object canvas audio video title head".split())
+HEAD_TAGS = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -40,7 +41,9 @@ _TOKEN = re.compile(
     re.DOTALL | re.IGNORECASE,
 )
 _NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-_HIDING = re.compile(r"\bhidden\b|display\s*:\s*none", re.IGNORECASE)
+_HIDING = re.compile(r"hidden|style", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|\"[^\"]*\"|'[^']*'")
+_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([\w-]+)", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -59,6 +62,18 @@ class _Open:
     hidden: bool
 
 
+def _hides(attrs: str) -> bool:
+    """Whether there is an attribute named hidden, or a style whose last display is none. Of equal names the first counts."""
+    if not _HIDING.search(attrs):
+        return False
+    values: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attrs):
+        if m[1]:
+            values.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    shown = _DISPLAY.findall(re.sub(r"/\*.*?\*/", " ", html.unescape(values.get("style", "")), flags=re.DOTALL))
+    return "hidden" in values or bool(shown) and shown[-1].lower() == "none"
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """Blocks with text, in page order. Texts are decoded, their white space collapsed and trimmed."""
     blocks: list[Block] = []
@@ -84,8 +99,14 @@ def leaf_blocks(page: str) -> list[Block]:
         hidden -= sum(e.hidden for e in stack[to:])
         del stack[to:]
 
+    def close_head() -> None:
+        while stack and stack[-1].tag == "head":
+            pop(len(stack) - 1)
+
     def add(text: str) -> None:
         nonlocal linked
+        if hidden and text.strip():
+            close_head()  # text can't stand in head
         if text and not hidden:
             pieces.append(text)
             if any(e.tag == "a" for e in stack):
@@ -97,6 +118,7 @@ def leaf_blocks(page: str) -> list[Block]:
         at = m.end()
         if m["raw"]:
             if m["raw"].lower() == "textarea":
+                close_head()
                 flush()
             continue
         if not m["tag"]:
@@ -111,6 +133,8 @@ def leaf_blocks(page: str) -> list[Block]:
                 if tag == "p":
                     flush()
             continue
+        if tag not in HEAD_TAGS:
+            close_head()
         if tag == "br":
             if not hidden:
                 pieces.append(" ")
@@ -136,7 +160,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag == "body":
             pop(0 if not stack or stack[0].tag != "html" else 1)
         names = frozenset(w.lower() for v in _NAMES.findall(m["attrs"]) for w in _WORDS.findall(max(v))) if m["attrs"] else frozenset()
-        shut = tag in HIDDEN_TAGS or bool(m["attrs"] and _HIDING.search(re.sub(r"\"[^\"]*\"|'[^']*'", lambda x: x[0] if "none" in x[0] else "", m["attrs"])))
+        shut = tag in HIDDEN_TAGS or bool(m["attrs"] and _hides(m["attrs"]))
         stack.append(_Open(tag, names, shut))
         hidden += shut
     add(page[at:])
