@@ -6,19 +6,24 @@ whose round function is a keyed SHA-256. Equal values get equal pseudonyms in ev
 different values different ones, so documents stay linked without the values themselves.
 
 Kinds: payment cards (13 to 19 digits with a right check digit, which is computed anew), telephone
-numbers (a plus sign and 8 to 15 digits, or an area code in brackets), social security numbers, IPv4 addresses, dates (in a fixed
-window of days), hexadecimal secrets assigned to a name, and e-mail addresses. An e-mail's local
-part has no fixed format to permute in: it becomes a keyed digest under a reserved domain.
-Numbers that fail their check (a wrong check digit, an octet over 255, 31 February) are left alone.
+numbers (a plus sign and 8 to 15 digits, ten digits in groups of 3, 3 and 4, or ten digits after a word for a telephone), social
+security numbers, IPv4 addresses, dates from 0001-01-01 to 9999-12-31, secrets assigned to a name, of any length and case, and e-mail
+addresses. Dates of 1900 to 2099 are permuted among themselves, all others among the others. A secret of 16 or more hexadecimal digits
+stays hexadecimal; any other one that holds a digit keeps its shape: digits, small and capital letters each stay such, other characters
+stay as they are. An e-mail's local part has no fixed format to permute in: it becomes a keyed digest under a reserved domain.
+
+Left alone by rule: numbers that fail their check (a wrong check digit, an octet over 255, 31 February), social security numbers with
+area 000 or 666, group 00 or serial 0000, which are never given out, and words after a name of a secret that hold no digit ("token: yes").
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "brindle-demo-key"
 ROUNDS = 8
+#: Setting of a session that holds the key of the queries, and the key of a session without it.
+KEY_SETTING, DEMO_KEY = "spark.brindle.pii.key", "brindle-demo-key"
 
 # The format of each kind. Every pattern starts at a border, so a search is linear in the text.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
@@ -28,6 +33,8 @@ PHONE = (
     r"|(?<![0-9+])\+[0-9]{8,15}(?![0-9])"
     r"|(?<![0-9+])\+[2-9][0-9]{0,2}(?:[ -][0-9]{2,8}){1,4}(?![0-9]|[ .-][0-9])"
     r"|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])"
+    r"|(?<![0-9A-Za-z+]|[0-9][ .-])[0-9]{3}(?:-[0-9]{3}-|\.[0-9]{3}\.| [0-9]{3} )[0-9]{4}(?![0-9A-Za-z]|[ .-][0-9])"
+    r"|(?<=(?i:tel|phone|call|cell|mobile|fax)[.:]{0,1} {0,2})[0-9]{10}(?![0-9A-Za-z])"
 )
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-?[0-9])"
 ISO_DATE = r"(?<![0-9/-])[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}(?![0-9/-])"
@@ -37,13 +44,21 @@ CARD = (
     r"|(?<![0-9A-Za-z]|[0-9][.,])[0-9]{4}(?: [0-9]{4} [0-9]{4} |-[0-9]{4}-[0-9]{4}-)[0-9]{4}(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z]|[0-9][.,])[0-9]{4}(?: [0-9]{6} |-[0-9]{6}-)[0-9]{5}(?![0-9A-Za-z])"
 )
-SECRET = r"(?<![A-Za-z])(?i:token|secret|password|api[_-]?key|key)(?-i)\s{0,3}[=:]\s{0,3}\"?[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])"
+#: Names of secrets, with the characters that an assigned value which isn't hexadecimal has at least, one of them a digit.
+SECRET_NAMES = ((r"password|passwd|passphrase|pwd", 6), (r"secret|token|credentials?|(?:api|access|private|secret)[_-]?key", 8), (r"key", 16))
+_ASSIGNED = r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
+_VALUE = r"[A-Za-z0-9_+/.~!@#$%^&*-]"
+_NO_DIGIT = r"[A-Za-z_+/.~!@#$%^&*-]"
+SECRET = r"(?<![A-Za-z])(?:" + "|".join(
+    f"(?i:{names}){_ASSIGNED}(?:[0-9A-Fa-f]{{16,}}+(?![0-9A-Za-z])|(?={_NO_DIGIT}*+[0-9]){_VALUE}{{{least},}}+)" for names, least in SECRET_NAMES
+) + ")"
 ANY = "|".join((EMAIL, SECRET, IPV4, PHONE, SSN, ISO_DATE, DAY_DATE, CARD))
 
 KINDS = ("email", "secret", "ip", "phone", "ssn", "date", "card")
 
-#: Dates from 1900-01-01 on, A * B days: the last is 2099-08-04.
-FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 270, 270
+#: Days before 1900-01-01 and from then to 2099-12-31, and factors of those days and of all others up to 9999-12-31.
+DAYS_BEFORE, DAYS_NEAR = 693_595, 73_049
+NEAR, FAR = (17, 4_297), (1_258, 2_845)
 
 
 def _round(kind: str, key: str, other: str) -> str:
@@ -114,11 +129,11 @@ def _ip(key: str) -> str:
 
 
 def _ssn(key: str) -> str:
-    """Areas 001 to 899 but 666, groups from 01, serials from 0001: 898 * 99 * 9999 numbers."""
+    """Areas 001 to 999 but 666, groups from 01, serials from 0001: 998 * 99 * 9999 numbers."""
     area, group, serial = "CAST(o[0] AS BIGINT)", "CAST(o[1] AS BIGINT)", "CAST(o[2] AS BIGINT)"
-    walk = _feistel("ssn", key, f"({area} - IF({area} > 666, 2, 1)) * 99 + {group} - 1", f"{serial} - 1", "88902", "9999")
+    walk = _feistel("ssn", key, f"({area} - IF({area} > 666, 2, 1)) * 99 + {group} - 1", f"{serial} - 1", "98802", "9999")
     back = "concat(lpad(CAST(p.a div 99 + IF(p.a div 99 + 1 >= 666, 2, 1) AS STRING), 3, '0'), '-', lpad(CAST(p.a % 99 + 1 AS STRING), 2, '0'), '-', lpad(CAST(p.b + 1 AS STRING), 4, '0'))"
-    return _let("split(m, '-')", "o", f"IF({area} BETWEEN 1 AND 899 AND {area} <> 666 AND {group} > 0 AND {serial} > 0, {_let(walk, 'p', back)}, NULL)")
+    return _let("split(m, '-')", "o", f"IF({area} > 0 AND {area} <> 666 AND {group} > 0 AND {serial} > 0, {_let(walk, 'p', back)}, NULL)")
 
 
 def _date(key: str) -> str:
@@ -129,31 +144,46 @@ def _date(key: str) -> str:
         f" IF(m RLIKE '^[0-9]{{4}}' OR try_to_date({d}, 'ddMMyyyy') IS NULL, NULL, named_struct('d', try_to_date({d}, 'ddMMyyyy'), 'f', concat('dd', substring(m, 3, 1), 'MM', substring(m, 6, 1), 'yyyy'))),"
         f" IF(m RLIKE '^[0-9]{{4}}', NULL, named_struct('d', try_to_date({d}, 'MMddyyyy'), 'f', concat('MM', substring(m, 3, 1), 'dd', substring(m, 6, 1), 'yyyy'))))"
     )
-    day = f"datediff(t.d, DATE'{FIRST_DAY}')"
-    walk = _feistel("date", key, f"n div {DAYS_B}", f"n % {DAYS_B}", str(DAYS_A), str(DAYS_B))
-    text = f"date_format(date_add(DATE'{FIRST_DAY}', CAST(p.a * {DAYS_B} + p.b AS INT)), t.f)"
-    return _let(tries, "t", _let(day, "n", f"IF(n BETWEEN 0 AND {DAYS_A * DAYS_B - 1}, {_let(walk, 'p', text)}, NULL)"))
+    near = f"(n BETWEEN {DAYS_BEFORE} AND {DAYS_BEFORE + DAYS_NEAR - 1})"
+    place = f"(n - IF({near}, {DAYS_BEFORE}, IF(n < {DAYS_BEFORE}, 0, {DAYS_NEAR})))"
+    size_a, size_b = (f"IF({near}, {x}, {y})" for x, y in zip(NEAR, FAR, strict=True))
+    walk = _feistel("date", key, f"{place} div {size_b}", f"{place} % {size_b}", size_a, size_b, tag=f"IF({near}, 'near', 'far')")
+    back = f"IF({near}, k + {DAYS_BEFORE}, IF(k < {DAYS_BEFORE}, k, k + {DAYS_NEAR}))"
+    text = f"date_format(date_add(DATE'0001-01-01', CAST({back} AS INT)), t.f)"
+    new = _let(walk, "p", _let(f"p.a * {size_b} + p.b", "k", text))
+    return _let(tries, "t", _let("datediff(t.d, DATE'0001-01-01')", "n", f"IF(n BETWEEN 0 AND {FAR[0] * FAR[1] + DAYS_NEAR - 1}, {new}, NULL)"))
 
 
 def _secret(key: str) -> str:
-    """Permutes the hexadecimal digits in two halves; each round adds a keyed stream to one, digit by digit.
+    """Permutes the characters of a value in two halves; each round adds a keyed stream to one, character by character.
 
-    Digits are permuted as lower-case ones and written in the case read: upper-case where all letters are, else each place
-    in its own case, which in a mixed value also enters the hash so that values differing in case only stay different.
+    Hexadecimal digits (h) are permuted as lower-case ones and written in the case read: upper-case where all letters are, else each
+    place in its own case, which in a mixed value also enters the hash so that values differing in case only stay different. In any
+    other value each character is moved within its own class, and the classes of all places enter the hash. Punctuation at the end is
+    no part of a value. Work is in proportion to the length.
     """
-    stream = f"concat(sha2(concat('{key}|secret|', length(v), c, '|', r, '|', HALF), 512), sha2(concat('{key}|more|', length(v), c, '|', r, '|', HALF), 512))"
-    add = "array_join(transform(sequence(1, length(GETS)), i -> substring('0123456789abcdef', 1 + (CAST(conv(substring(GETS, i, 1), 16, 10) AS INT) + CAST(conv(substring(f, i, 1), 16, 10) AS INT)) % 16, 1)), '')"
-    step = lambda gets, gives: _let(stream.replace("HALF", gives), "f", add.replace("GETS", gets))
+    moved = lambda alphabet: f"substring('{alphabet}', 1 + (instr('{alphabet}', x) - 1 + CAST(conv(y, 16, 10) AS INT)) % {len(alphabet)}, 1)"
+    digits, small = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    added = (
+        f"CASE WHEN h THEN {moved('0123456789abcdef')} WHEN x BETWEEN '0' AND '9' THEN {moved(digits)} WHEN x BETWEEN 'a' AND 'z' THEN {moved(small)}"
+        f" WHEN x BETWEEN 'A' AND 'Z' THEN {moved(small.upper())} ELSE x END"
+    )
+    seed = f"sha2(concat('{key}|secret|', length(v), c, '|', r, '|', GIVES), 512)"
+    stream = f"regexp_extract_all(array_join(transform(sequence(0, length(GETS) div 64), b -> sha2(concat(e, '|', b), 512)), ''), '..', 0)"
+    add = f"array_join(zip_with(split(GETS, ''), slice(f, 1, length(GETS)), (x, y) -> {added}), '')"
+    step = lambda gets, gives: _let(seed.replace("GIVES", gives), "e", _let(stream.replace("GETS", gets), "f", add.replace("GETS", gets)))
     walk = (
         f"aggregate(sequence(1, {ROUNDS}), named_struct('a', substring(v, 1, length(v) div 2), 'b', substring(v, length(v) div 2 + 1)), (s, r) -> IF(r % 2 = 1,"
         f" named_struct('a', {step('s.a', 's.b')}, 'b', s.b), named_struct('a', s.a, 'b', {step('s.b', 's.a')})), s -> concat(s.a, s.b))"
     )
-    value = "regexp_extract(m, '[0-9A-Fa-f]{32,128}$', 0)"
-    places = "IF(w IN (lower(w), upper(w)), '', concat('|', regexp_replace(regexp_replace(w, '[A-F]', '^'), '[^^]', '.')))"
-    cased = "array_join(transform(sequence(1, length(x)), i -> IF(substring(c, i + 1, 1) = '^', upper(substring(x, i, 1)), substring(x, i, 1))), '')"
-    written = f"CASE WHEN w = lower(w) THEN x WHEN w = upper(w) THEN upper(x) ELSE {cased} END"
-    new = _let("lower(w)", "v", _let(places, "c", _let(walk, "x", written)))
-    return _let(value, "w", f"concat(substring(m, 1, length(m) - length(w)), {new})")
+    value = r"regexp_replace(regexp_extract(m, '^[^=:]*[=:]\\s*[\'\"]?(.*)$', 1), '[^0-9A-Za-z]+$', '')"
+    classes = "concat('|', regexp_replace(regexp_replace(regexp_replace(w, '[a-z]', 'a'), '[A-Z]', 'A'), '[0-9]', '9'))"
+    places = f"CASE WHEN NOT h THEN {classes} WHEN w IN (lower(w), upper(w)) THEN '' ELSE concat('|', regexp_replace(regexp_replace(w, '[A-F]', '^'), '[^^]', '.')) END"
+    cased = "array_join(zip_with(split(x, ''), split(substring(c, 2), ''), (a, b) -> IF(b = '^', upper(a), a)), '')"
+    written = f"CASE WHEN NOT h OR w = lower(w) THEN x WHEN w = upper(w) THEN upper(x) ELSE {cased} END"
+    new = _let("w RLIKE '^[0-9A-Fa-f]{16,}$'", "h", _let("IF(h, lower(w), w)", "v", _let(places, "c", _let(walk, "x", written))))
+    at = "locate(w, m, instr(translate(m, ':', '='), '='))"
+    return _let(value, "w", _let(at, "i", f"concat(substring(m, 1, i - 1), {new}, substring(m, i + length(w)))"))
 
 
 def _email(key: str) -> str:
@@ -163,9 +193,9 @@ def _email(key: str) -> str:
 def _pseudonym(key: str) -> str:
     """SQL: a match m to a struct (kind, text), text null if m fails its check."""
     kinds = (
+        ("secret", "m RLIKE '[=:]'", _secret(key)),
         ("email", "m LIKE '%@%'", _email(key)),
-        ("secret", "m RLIKE '^[A-Za-z]'", _secret(key)),
-        ("phone", "m LIKE '+%' OR m LIKE '(%'", _phone(key)),
+        ("phone", r"m LIKE '+%' OR m LIKE '(%' OR m RLIKE r'^(?:[0-9]{10}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})$'", _phone(key)),
         ("ip", r"m RLIKE r'^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}$'", _ip(key)),
         ("ssn", "m RLIKE '^[0-9]{3}-[0-9]{2}-[0-9]{4}$'", _ssn(key)),
         ("date", "m RLIKE '[./]' OR m RLIKE '^[0-9]{4}-[0-9]{2}-[0-9]{2}$'", _date(key)),
@@ -181,7 +211,7 @@ def _replaced(docs: DataFrame, key: str) -> DataFrame:
     if not key or "'" in key or "\\" in key:
         raise ValueError("a key is a non-empty string without quotes and backslashes")
     # Most texts hold no digit and no at sign; they skip the long pattern.
-    some = F.col("text").rlike("[0-9@]|(?i:key|token|secret|password)")
+    some = F.col("text").rlike("[0-9@]|(?i:key|token|secret|credential|pass|pwd)")
     df = docs.withColumn(f"{_P}found", F.when(some, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
     df = df.withColumn(f"{_P}found", F.when(F.size(f"{_P}found") > 0, F.col(f"{_P}found")))
     df = df.withColumn(f"{_P}new", F.expr(f"transform({_P}found, m -> {_pseudonym(key)})"))
@@ -195,7 +225,12 @@ def _sql_string(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def pseudonymize(docs: DataFrame, *, key: str = KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key that the session names; the demonstration's key where it names none."""
+    return spark.conf.get(KEY_SETTING, DEMO_KEY)
+
+
+def pseudonymize(docs: DataFrame, *, key: str) -> DataFrame:
     """Out: doc_id, text with pseudonyms, n_found (replaced values), and n_<kind> for each kind.
 
     A null text stays null, an empty one empty; texts without a valid value come back byte for byte.
@@ -209,7 +244,7 @@ def pseudonymize(docs: DataFrame, *, key: str = KEY) -> DataFrame:
     return df.select("doc_id", F.col(f"{_P}text").alias("text"), "n_found", *(f"n_{k}" for k in KINDS))
 
 
-def replace_texts(docs: DataFrame, *, key: str = KEY) -> DataFrame:
+def replace_texts(docs: DataFrame, *, key: str) -> DataFrame:
     """`docs` with pseudonyms in `text` and, where a text changed and the column is there, its new `n_chars`."""
     df = _replaced(docs, key)
     new: dict[str, Column] = {"text": F.col(f"{_P}text")}

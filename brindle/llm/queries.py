@@ -47,7 +47,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(table(spark, sf_dir, "documents"))
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), key=pii.session_key(spark))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -22,7 +22,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with pseudonyms for personal data."""
-    return pii.replace_texts(docs)
+    return pii.replace_texts(docs, key=pii.session_key(spark))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
