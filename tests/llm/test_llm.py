@@ -69,14 +69,16 @@ def counts(text):
 def test_quality_counts_and_ratio(spark, docs, labels):
     got = quality_rules.quality(docs, labels).collect()
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    good = {r["doc_id"] for r in quality_rules.trusted_ids(labels).collect()}
-    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
-    one = lambda s, seed: xxhash.xxh64_intdigest(s.encode(), seed)
-    bucket = lambda h: signed(h) % quality_rules.BUCKETS
+    trusted, judges = quality_rules.labelled_ids(labels)
+    good, judges = {r["doc_id"] for r in trusted.collect()}, {r["doc_id"]: r["label"] for r in judges.collect()}
+    assert good and not good & set(judges)
+    one = lambda data, seed: xxhash.xxh64_intdigest(data, seed)
+    bucket = lambda h: h % quality_rules.BUCKETS
 
     def grams(text):
-        ends = [w[-3:] for w in WORD.findall(text or "")]
-        return [bucket(one(e, 42)) for e in ends] + [bucket(one(b, one(a, 42))) for a, b in zip(ends, ends[1:])]
+        hashes = [one(w.encode(), 42) for w in WORD.findall(text or "")]
+        whole = lambda h: h.to_bytes(8, "little")
+        return [bucket(h) for h in hashes] + [bucket(one(whole(b), one(whole(a), 42))) for a, b in zip(hashes, hashes[1:])]
 
     raw, target = collections.Counter(), collections.Counter()
     for d, t in texts.items():
@@ -84,15 +86,21 @@ def test_quality_counts_and_ratio(spark, docs, labels):
         if d in good:
             target.update(grams(t))
     n_raw, n_target, whole = sum(raw.values()), sum(target.values()), quality_rules.BUCKETS
+    ratio = {}
+    for d, t in texts.items():
+        g = grams(t)
+        ratio[d] = sum(math.log((target[b] + 1) / (n_target + whole)) - math.log((raw[b] + 1) / (n_raw + whole)) for b in g) / max(1, len(g))
+    judged = {v: sorted(ratio[d] for d, x in judges.items() if x == v and len(WORD.findall(texts.get(d) or "")) >= 20) for v in (0, 1)}
+    low = judged[1][max(0, math.ceil(quality_rules.LOST * len(judged[1])) - 1)]
+    below = [x for x in judged[0] if x < low]
+    least = (low + max(below)) / 2 if below else low
     for r in got:
-        text = texts[r["doc_id"]]
-        assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == counts(text)
+        assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == counts(texts[r["doc_id"]])
         failed = r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]
         assert r["base_failed"] == failed and (not failed or not r["kept"])
-        g = grams(text)
-        want = sum(math.log((target[b] + 1) / (n_target + whole)) - math.log((raw[b] + 1) / (n_raw + whole)) for b in g) / max(1, len(g))
-        assert r["llr"] == pytest.approx(want, abs=1e-9)
-        assert r["kept"] == (not failed and r["llr"] >= quality_rules.THRESHOLD)
+        assert r["llr"] == pytest.approx(ratio[r["doc_id"]], abs=1e-9)
+        if abs(ratio[r["doc_id"]] - least) > 1e-9:
+            assert r["kept"] == (not failed and ratio[r["doc_id"]] >= least)
 
 
 def test_quality_odd_rows(spark, odd, labels):
