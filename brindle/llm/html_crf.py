@@ -35,11 +35,15 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
+# Attributes of a tag: runs of characters and quoted values. A tag with more of them than that ends at its first ">", so that
+# a page of unbalanced quotes is not read again from each of its tags.
+_ATTRS = r"(?:[^>\"']++|\"[^\"]*\"|'[^']*'){0,512}+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|textarea)\b(?P<rawattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>(?P<rawtext>.*?)(?:</(?P=raw)\s*>|\Z)"
-    r"|</?(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|textarea)\b(?:{_ATTRS})>(?P<rawtext>.*?)(?:(?P<rawend></(?P=raw)\s*>)|\Z)"
+    rf"|</?(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>{_ATTRS})>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
+_UNCLOSED = re.compile(r"<!--|<!\[CDATA\[")
 _NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _HIDING = re.compile(r"hidden|style", re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|\"[^\"]*\"|'[^']*'")
@@ -49,17 +53,57 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 @dataclass
 class Block:
+    """A run of text: its innermost block-level element, all of those around it, the names around it, and its share of links."""
+
     text: str
-    tags: tuple[str, ...]
+    inner: str
+    under: frozenset[str]
     names: frozenset[str]
     linked: float
 
 
-@dataclass
-class _Open:
-    tag: str
-    names: frozenset[str]
-    hidden: bool
+class _Stack:
+    """Open elements. What a block needs of them is counted on push and pop, so a tag costs the same at any depth."""
+
+    def __init__(self, known: frozenset[str] | None):
+        self.known = known
+        self.open: list[tuple[str, frozenset[str], bool]] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[str] = []
+        self.under: dict[str, int] = {}
+        self.names: dict[str, int] = {}
+        self.hidden = 0
+
+    def push(self, tag: str, names: frozenset[str], hidden: bool) -> None:
+        names = names if self.known is None else names & self.known
+        self.at.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, names, hidden))
+        self.hidden += hidden
+        if tag in BLOCK_TAGS:
+            self.blocks.append(tag)
+            self.under[tag] = self.under.get(tag, 0) + 1
+        for n in names:
+            self.names[n] = self.names.get(n, 0) + 1
+
+    def pop(self) -> None:
+        tag, names, hidden = self.open.pop()
+        self.at[tag].pop()
+        self.hidden -= hidden
+        if tag in BLOCK_TAGS:
+            self.blocks.pop()
+            _less(self.under, tag)
+        for n in names:
+            _less(self.names, n)
+
+    def last(self, tags: frozenset[str] | set[str] | tuple[str, ...]) -> int:
+        """Place of the last open element of any of these tags, -1 if there is none."""
+        return max((places[-1] for t in tags if (places := self.at.get(t))), default=-1)
+
+
+def _less(counts: dict[str, int], key: str) -> None:
+    counts[key] -= 1
+    if not counts[key]:
+        del counts[key]
 
 
 def _hides(attrs: str) -> bool:
@@ -74,48 +118,54 @@ def _hides(attrs: str) -> bool:
     return "hidden" in values or bool(shown) and shown[-1].lower() == "none"
 
 
-def leaf_blocks(page: str) -> list[Block]:
-    """Blocks with text, in page order. Texts are decoded, their white space collapsed and trimmed."""
+def leaf_blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
+    """Blocks with text, in page order. Texts are decoded, their white space collapsed and trimmed.
+
+    `known`: the names that blocks keep, of all that are around them (None: every one).
+    """
     blocks: list[Block] = []
-    stack: list[_Open] = []
+    stack = _Stack(known)
     pieces: list[str] = []
     linked = 0
-    hidden = 0
 
     def flush() -> None:
         nonlocal linked
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                names = frozenset().union(*(e.names for e in stack)) if stack else frozenset()
-                blocks.append(Block(text, tuple(e.tag for e in stack), names, min(1.0, linked / len(text))))
+                inner = stack.blocks[-1] if stack.blocks else ""
+                blocks.append(Block(text, inner, frozenset(stack.under), frozenset(stack.names), min(1.0, linked / len(text))))
             pieces.clear()
             linked = 0
 
     def pop(to: int) -> None:
-        nonlocal hidden
-        if any(e.tag in BLOCK_TAGS for e in stack[to:]):
+        if any(tag in BLOCK_TAGS for tag, _, _ in stack.open[to:]):
             flush()
-        hidden -= sum(e.hidden for e in stack[to:])
-        del stack[to:]
+        while len(stack.open) > to:
+            stack.pop()
 
     def close_head() -> None:
-        while stack and stack[-1].tag == "head":
-            pop(len(stack) - 1)
+        while stack.open and stack.open[-1][0] == "head":
+            pop(len(stack.open) - 1)
 
     def add(text: str) -> None:
         nonlocal linked
-        if hidden and text.strip():
+        if stack.hidden and text.strip():
             close_head()  # text can't stand in head
-        if text and not hidden:
+        if text and not stack.hidden:
             pieces.append(text)
-            if any(e.tag == "a" for e in stack):
+            if stack.at.get("a"):
                 linked += len(text.strip())
 
+    # No tag ends behind the last ">": what follows is text, or the rest of what the last token left open.
+    end = page.rfind(">") + 1
+    rest = _UNCLOSED.split(page[end:], maxsplit=1)[0]
     at = 0
-    for m in _TOKEN.finditer(page):
+    for m in _TOKEN.finditer(page, 0, end):
         add(page[at : m.start()])
         at = m.end()
+        if at == end and (m["raw"] and not m["rawend"] or m[0].startswith("<!--") and not m[0].endswith("-->") or m[0].startswith("<![CDATA[") and not m[0].endswith("]]>")):
+            rest = ""
         if m["raw"]:
             if m["raw"].lower() == "textarea":
                 close_head()
@@ -125,55 +175,35 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         tag = m["tag"].lower()
         if page[m.start() + 1] == "/":
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
-                    pop(k)
-                    break
-            else:
-                if tag == "p":
-                    flush()
+            if (place := stack.last((tag,))) >= 0:
+                pop(place)
+            elif tag == "p":
+                flush()
             continue
         if tag not in HEAD_TAGS:
             close_head()
         if tag == "br":
-            if not hidden:
+            if not stack.hidden:
                 pieces.append(" ")
             continue
         if tag in BLOCK_TAGS:
             # An open paragraph ends where a block begins; items end where the next begins.
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == "p":
-                    pop(k)
-                    break
-                if stack[k].tag in BLOCK_TAGS:
-                    break
-            if tag in CLOSES:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k].tag in FENCES[tag]:
-                        break
-                    if stack[k].tag in CLOSES[tag]:
-                        pop(k)
-                        break
+            if stack.blocks and stack.blocks[-1] == "p":
+                pop(stack.last(("p",)))
+            if tag in CLOSES and (place := stack.last(CLOSES[tag])) > stack.last(FENCES[tag]):
+                pop(place)
             flush()
         if tag in VOID_TAGS or m["attrs"].endswith("/") and tag not in BLOCK_TAGS:
             continue
         if tag == "body":
-            pop(0 if not stack or stack[0].tag != "html" else 1)
+            pop(0 if not stack.open or stack.open[0][0] != "html" else 1)
         names = frozenset(w.lower() for v in _NAMES.findall(m["attrs"]) for w in _WORDS.findall(max(v))) if m["attrs"] else frozenset()
-        shut = tag in HIDDEN_TAGS or bool(m["attrs"] and _hides(m["attrs"]))
-        stack.append(_Open(tag, names, shut))
-        hidden += shut
-    add(page[at:])
+        stack.push(tag, names, tag in HIDDEN_TAGS or bool(m["attrs"] and _hides(m["attrs"])))
+    add(page[at:end] + rest)
     flush()
     return blocks
 
 
-_HINTS = re.compile(
-    r"\b(cookies?|subscribe|newsletter|sign (?:up|in)|log ?in|share|comments?|repl(?:y|ies)|advertisement|sponsored|copyright|all rights reserved|privacy|terms|related|read more|search|menu|home|contact)\b|[©]",
-    re.IGNORECASE,
-)
-
-
 #: Names that a page's own article usually stands under.
 _MAIN = frozenset("article main content entry post story".split())
 
@@ -181,21 +211,19 @@ _MAIN = frozenset("article main content entry post story".split())
 def features(blocks: list[Block]) -> list[list[str]]:
     out = []
     n = len(blocks)
-    inside = [bool(_MAIN & {*b.tags, *b.names}) for b in blocks]
+    inside = [not (_MAIN.isdisjoint(b.under) and _MAIN.isdisjoint(b.names)) for b in blocks]
     some = any(inside)
     for k, b in enumerate(blocks):
         words = b.text.count(" ") + 1
-        inner = [t for t in b.tags if t in BLOCK_TAGS]
-        own = ["bias", f"in {inner[-1]}" if inner else "in nothing", f"words {min(6, int(math.log2(words)))}", f"links {0 if b.linked == 0 else 1 + int(b.linked * 2.99)}"]
+        own = ["bias", f"in {b.inner or 'nothing'}", f"words {min(6, int(math.log2(words)))}", f"links {0 if b.linked == 0 else 1 + int(b.linked * 2.99)}"]
         where = "inside" if inside[k] else "outside" if some else "nowhere"
-        own += [where, f"{where} {inner[-1] if inner else ''}"]
-        own += [f"under {t}" for t in set(inner)]
+        own += [where, f"{where} {b.inner}"]
+        own += [f"under {t}" for t in b.under]
         own += [f"named {x}" for x in b.names]
         own.append(f"ends {b.text[-1] if b.text[-1] in '.!?:,' else 'x'}")
         if b.text[-1] in ".!?" and words > 8 and b.linked < 0.3:
             own.append("a sentence")
-        own += [f"hint {h.lower()}" for h in set(_HINTS.findall(b.text[:400])) if h and words < 30]
-        if "©" in b.text[:40]:
+        if "©" in b.text:
             own.append("copyright sign")
         own.append(f"place {min(2, 3 * k // max(1, n))}")
         out.append(own)
@@ -232,6 +260,11 @@ class Field:
             labels.append(int(step[labels[-1]]))
         return labels[::-1]
 
+    @functools.cached_property
+    def known(self) -> frozenset[str]:
+        """The names that have a weight or a meaning of their own."""
+        return frozenset(f.removeprefix("named ") for f in self.weights if f.startswith("named ")) | _MAIN
+
     @classmethod
     def fit(cls, pages: list[tuple[list[list[str]], list[int]]], epochs: int = 5, ridge: float = 1e-4) -> Field:
         """Maximum likelihood by Adagrad over pages; expectations by forward and backward sums."""
@@ -391,7 +424,7 @@ def trained(count: int = 600, seed: int = 1) -> Field:
 def main_text(page: str | None, model: Field) -> str:
     if not page:
         return ""
-    blocks = leaf_blocks(page)
+    blocks = leaf_blocks(page, model.known)
     return "\n".join(b.text for b, y in zip(blocks, model.decode(features(blocks)), strict=True) if y)
 
 
