@@ -230,6 +230,34 @@ def features(blocks: list[Block]) -> list[list[str]]:
     return out
 
 
+def _log_sum(a: float, b: float) -> float:
+    return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
+
+def _expected(score: list[list[float]], pair: list[list[float]]) -> tuple[list[list[float]], list[list[float]]]:
+    """Probability of each label at each block, and expected number of each pair of neighbouring labels, by forward and backward sums."""
+    n = len(score)
+    (p00, p01), (p10, p11) = pair
+    forward = [tuple(score[0])]
+    for s0, s1 in score[1:]:
+        f0, f1 = forward[-1]
+        forward.append((s0 + _log_sum(f0 + p00, f1 + p10), s1 + _log_sum(f0 + p01, f1 + p11)))
+    backward = [(0.0, 0.0)]
+    for s0, s1 in reversed(score[1:]):
+        b0, b1 = backward[-1]
+        z0, z1 = s0 + b0, s1 + b1
+        backward.append((_log_sum(p00 + z0, p01 + z1), _log_sum(p10 + z0, p11 + z1)))
+    backward.reverse()
+    total = _log_sum(*forward[-1])
+    node = [[math.exp(f0 + b0 - total), math.exp(f1 + b1 - total)] for (f0, f1), (b0, b1) in zip(forward, backward, strict=True)]
+    pairs = [[0.0, 0.0], [0.0, 0.0]]
+    for k in range(1, n):
+        for a in (0, 1):
+            for b in (0, 1):
+                pairs[a][b] += math.exp(forward[k - 1][a] + pair[a][b] + score[k][b] + backward[k][b] - total)
+    return node, pairs
+
+
 @dataclass
 class Field:
     """Weights of features by label, and of label pairs. Label 1 is the article."""
@@ -273,6 +301,7 @@ class Field:
         w, pair = np.zeros((len(names), 2)), np.zeros((2, 2))
         w_sum, pair_sum = np.full(w.shape, 1e-6), np.full(pair.shape, 1e-6)
         coded = [([np.array([number[f] for f in row]) for row in rows], np.array(y)) for rows, y in pages]
+        flats = [(np.concatenate(rows), np.array([len(x) for x in rows])) if rows else None for rows, _ in coded]
         random = np.random.Generator(np.random.PCG64(3))
         for _ in range(epochs):
             for page in random.permutation(len(coded)):
@@ -280,25 +309,15 @@ class Field:
                 n = len(rows)
                 if not n:
                     continue
-                score = np.stack([w[r].sum(axis=0) for r in rows])
-                forward, backward = np.zeros((n, 2)), np.zeros((n, 2))
-                forward[0] = score[0]
-                for k in range(1, n):
-                    forward[k] = score[k] + np.logaddexp(forward[k - 1][0] + pair[0], forward[k - 1][1] + pair[1])
-                for k in range(n - 2, -1, -1):
-                    z = score[k + 1] + backward[k + 1]
-                    backward[k] = np.logaddexp(pair[:, 0] + z[0], pair[:, 1] + z[1])
-                total = np.logaddexp(*forward[-1])
-                node = np.exp(forward + backward - total)
-                gap = node - np.eye(2)[y]
-                pair_gap = np.zeros((2, 2))
-                for k in range(1, n):
-                    pair_gap += np.exp(forward[k - 1][:, None] + pair + score[k] + backward[k] - total)
-                    pair_gap[y[k - 1], y[k]] -= 1
-                flat = np.concatenate(rows)
+                flat, sizes = flats[page]
+                score = np.add.reduceat(w[flat], np.cumsum(sizes) - sizes, axis=0).tolist()
+                node, pair_gap = _expected(score, pair.tolist())
+                gap = np.array(node) - np.eye(2)[y]
+                pair_gap = np.array(pair_gap)
+                np.subtract.at(pair_gap, (y[:-1], y[1:]), 1)
                 at, inverse = np.unique(flat, return_inverse=True)
-                grad = np.zeros((len(at), 2))
-                np.add.at(grad, inverse, np.repeat(gap, [len(r) for r in rows], axis=0))
+                each = np.repeat(gap, sizes, axis=0)
+                grad = np.stack([np.bincount(inverse, each[:, k], len(at)) for k in (0, 1)], axis=1)
                 grad += ridge * w[at]
                 w_sum[at] += grad**2
                 w[at] -= 0.3 * grad / np.sqrt(w_sum[at])
@@ -326,10 +345,11 @@ def labelled_pages(count: int = 600, seed: int = 1) -> list[tuple[str, str]]:
     """Pages with their article texts, made from the parts above. Words are made up; lengths overlap between parts."""
     r = np.random.Generator(np.random.PCG64(seed))
     syllables = [a + b for a in "b d f g k l m n p r s t v z ch sh th qu".split() for b in "a e i o u an en in on ar er ai ou é ü".split()]
-    word = lambda: "".join(r.choice(syllables) for _ in range(int(r.integers(1, 4))))
+    pick = lambda options: options[int(r.integers(0, len(options)))]
+    word = lambda: "".join(pick(syllables) for _ in range(int(r.integers(1, 4))))
 
     def sentence(words: int) -> str:
-        return (" ".join(word() for _ in range(words))).capitalize() + str(r.choice([".", ".", ".", ".", "!", "?", "", ":", " &amp;&amp;&amp;", "!!", "###"]))
+        return (" ".join(word() for _ in range(words))).capitalize() + str(pick([".", ".", ".", ".", "!", "?", "", ":", " &amp;&amp;&amp;", "!!", "###"]))
 
     def prose(most: int) -> str:
         return " ".join(sentence(int(r.integers(1, 14))) for _ in range(int(r.integers(1, most + 1))))
@@ -341,7 +361,7 @@ def labelled_pages(count: int = 600, seed: int = 1) -> list[tuple[str, str]]:
         return "<ul>" + "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(n)) + "</ul>"
 
     def rest(kind: str) -> str:
-        opening = str(r.choice(REST[kind]))
+        opening = str(pick(REST[kind]))
         style = int(r.integers(0, 4))
         body = {"nav": links(int(r.integers(2, 8))), "share": " ".join(f"<a href='#'>{word()}</a>" for _ in range(3)), "form": f"<label>{word()}</label><input name=q><select><option>{word()}<option>{word()}</select><button>{word()}</button><p>{prose(1)}</p>"}.get(kind)
         if body is None or style == 3 and kind in ("share",):
@@ -363,7 +383,7 @@ def labelled_pages(count: int = 600, seed: int = 1) -> list[tuple[str, str]]:
             return markup
 
         def part(inside: bool = True) -> str:
-            kind = r.choice(["p", "p", "p", "p", "bold", "h2", "li", "quote", "div", "table", "pre", "figure", "dl"]) if inside else "p"
+            kind = pick(["p", "p", "p", "p", "bold", "h2", "li", "quote", "div", "table", "pre", "figure", "dl"]) if inside else "p"
             text = lambda most=5: shown(prose(most))
             if kind == "bold":
                 return f"<p><b>{text(2)}<br>"
@@ -380,7 +400,7 @@ def labelled_pages(count: int = 600, seed: int = 1) -> list[tuple[str, str]]:
                 return "<p>" + shown(f'{prose(2)} <a href="/x">{word()} {word()}</a> <em>{word()}</em> {prose(1)}') + ("</p>" if r.random() < 0.8 else "")
             return opening + text() + close(opening)
 
-        opening = str(r.choice(ARTICLE)) if r.random() < 0.8 else str(r.choice(["", "<div>", f'<div class="{word()}">']))
+        opening = str(pick(ARTICLE)) if r.random() < 0.8 else str(pick(["", "<div>", f'<div class="{word()}">']))
         inner = []
         if r.random() < 0.85:
             title = f"<h1>{shown(sentence(int(r.integers(1, 9))))}</h1>"
@@ -388,7 +408,7 @@ def labelled_pages(count: int = 600, seed: int = 1) -> list[tuple[str, str]]:
         for _ in range(int(r.integers(0, 14))):
             inner.append(part())
             if r.random() < 0.06:
-                inner.append(rest(str(r.choice(["ad", "side", "share", "notice", "form"]))))
+                inner.append(rest(str(pick(["ad", "side", "share", "notice", "form"]))))
         article = opening + "".join(inner) + close(opening)
         kinds = list(REST)
         before = [rest(k) for k in ("header", "nav", "notice", "ad", "side", "form") if r.random() < (0.8 if k == "nav" else 0.35)]
