@@ -11,10 +11,13 @@ union are the register-wise maxima, and equal registers are as likely as shingle
    threshold are dropped, the others verified on the full sets of their texts.
 4. Components follow from the verified links. In buckets whose members are still in different
    components, a spanning forest of likely pairs is verified next: one pair for each join, not all.
-5. Members that still have a likely partner in another component are compared with all such
+5. Members that still have a likely partner in another component, by the same estimate, are compared with all such
    members of their bucket, on full sets, within the task that holds the bucket (or two blocks of a
    large one); only links come out. So nothing that shares a bucket stays uncompared.
 
+A class is named by a number of its own and found again by the id and the hash of one of its texts, so an id that
+stands on several texts is no obstacle: it has the links of all of them.
+
 With 32 bands of 4 registers a pair at similarity 0.8 shares no bucket with probability 5e-8.
 """
 
@@ -42,6 +45,12 @@ LEAST_ESTIMATE = 0.6
 LEAST_EQUAL = 0.45
 #: Shingles of the members of a bucket that are compared with one another in one task; larger buckets are cut into blocks.
 BLOCK = 1 << 19
+#: Shingles of small buckets that share a task.
+TASK = 1 << 17
+#: Tasks of a stage that compares within buckets, at most; beyond it a task has several groups.
+MOST_TASKS = 20_000
+#: Pairs whose similarity is estimated at once.
+PAIRS = 1 << 15
 
 _random = np.random.Generator(np.random.PCG64(7))
 _MULTIPLY = _random.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -89,22 +98,26 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return (low + high) / 2
 
 
-def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, (data, offsets) = batch.column(0), kernel.buffers(batch.column(1))
-        for i, j, part, own in kernel.chunks(data, offsets):
-            sets = list(kernel.shingle_sets(part, own, SHINGLE))
-            digest = np.array([[x.sum(), np.bitwise_xor.reduce(kernel.mix64(x))] if len(x) else [0, 0] for x in sets], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids.slice(i, j - i),
-                    pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array(digest[:, 0]),
-                    pa.array(digest[:, 1]),
-                    pa.array([sketch(x).tobytes() if len(x) else None for x in sets], pa.binary()),
-                ],
-                names=["doc_id", "n_shingles", "d1", "d2", "sketch"],
-            )
+def _sketch_batches(width: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = kernel.buffers(batch.column(2))
+            for i, j, part, own in kernel.chunks(data, offsets):
+                sets = list(kernel.shingle_sets(part, own, width))
+                digest = np.array([[x.sum(), np.bitwise_xor.reduce(kernel.mix64(x))] if len(x) else [0, 0] for x in sets], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(i, j - i),
+                        batch.column(1).slice(i, j - i),
+                        pa.array([len(x) for x in sets], pa.int64()),
+                        pa.array(digest[:, 0]),
+                        pa.array(digest[:, 1]),
+                        pa.array([sketch(x).tobytes() if len(x) else None for x in sets], pa.binary()),
+                    ],
+                    names=["doc_id", "h", "n_shingles", "d1", "d2", "sketch"],
+                )
+
+    return run
 
 
 def _registers(column: pa.Array) -> np.ndarray:
@@ -138,22 +151,25 @@ def _estimate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([cols["x"].filter(keep), cols["y"].filter(keep), score.filter(keep)], names=["x", "y", "like"])
 
 
-def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
+def _sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     data, offsets = kernel.buffers(texts)
     for _, _, part, own in kernel.chunks(data, offsets):
-        yield from kernel.shingle_sets(part, own, SHINGLE)
+        yield from kernel.shingle_sets(part, own, width)
 
 
-def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for k in range(0, whole.num_rows, 512):
-            batch = whole.slice(k, 512)
-            keep = []
-            for a, b in zip(_sets(batch.column(2)), _sets(batch.column(3)), strict=True):
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(shared > 0 and 100 * shared >= MIN_PERCENT * (len(a) + len(b) - shared))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["x", "y"])
+def _verify_batches(width: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 512):
+                batch = whole.slice(k, 512)
+                keep = []
+                for a, b in zip(_sets(batch.column(2), width), _sets(batch.column(3), width), strict=True):
+                    shared = len(np.intersect1d(a, b, assume_unique=True))
+                    keep.append(shared > 0 and 100 * shared >= MIN_PERCENT * (len(a) + len(b) - shared))
+                mask = pa.array(keep, pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["x", "y"])
+
+    return run
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -163,21 +179,24 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(_estimate_batches, "x long, y long, like long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (x, y) that are similar enough on the full sets of their texts."""
-    side = lambda id_, t: texts.select(F.col("doc_id").alias(id_), F.col("text").alias(t))
+def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Those of the pairs (x, y) that are similar enough on the full sets of their texts (rep, text)."""
+    side = lambda id_, t: texts.select(F.col("rep").alias(id_), F.col("text").alias(t))
     both = pairs.join(side("x", "tx"), "x").join(side("y", "ty"), "y").select("x", "y", "tx", "ty")
-    return stored(both.mapInArrow(_verify_batches, "x long, y long"))
+    return stored(both.mapInArrow(_verify_batches(width), "x long, y long"))
 
 
-def _fetched(texts: DataFrame, pairs: DataFrame, have: DataFrame | None = None) -> DataFrame:
-    """Texts of all ids in pairs, added to those that are there."""
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+def _fetched(texts: DataFrame, grouped: DataFrame, pairs: DataFrame, have: DataFrame | None = None) -> DataFrame:
+    """One text (rep, text) of each class in pairs, added to those that are there."""
+    reps = pairs.select(F.explode(F.array("x", "y")).alias("rep")).distinct()
     if have is not None:
-        ids = stored(ids.join(have.select("doc_id"), "doc_id", "left_anti"))
-        if ids.isEmpty():
-            return have
-    found = stored(texts.join(ids, "doc_id", "left_semi"))
+        reps = reps.join(have.select("rep"), "rep", "left_anti")
+    wanted = stored(reps.join(grouped.select("rep", "doc_id", "h"), "rep"))
+    if have is not None and wanted.isEmpty():
+        return have
+    # Rows that repeat an id and its text are one: the first of them is as good as any.
+    found = texts.join(wanted, ["doc_id", "h"]).groupBy("doc_id", "h", "rep").agg(F.first("text").alias("text"))
+    found = stored(found.select("rep", "text"))
     release_shuffles(texts.sparkSession)
     return found if have is None else have.union(found)
 
@@ -214,9 +233,12 @@ def _mixed(members: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFra
 
 
 def _by_task(rows: DataFrame):  # noqa: ANN202
-    """Rows grouped so that a task's group has whole buckets, or pairs of blocks, of about two blocks' size together."""
+    """Rows dealt to tasks of about `TASK` shingles: a task's group has whole buckets, or pairs of blocks."""
     size = rows.agg(F.sum("n_shingles").alias("size")).first()["size"] or 0
-    return rows.groupBy(F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(max(1, int(size // (2 * BLOCK))))).alias("group"))
+    groups = max(1, int(size // TASK))
+    # A number of partitions that is asked for isn't lowered to fit the few bytes that such work has.
+    dealt = rows.withColumn("group", F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(groups))).repartition(min(groups, MOST_TASKS), "group")
+    return dealt.groupBy("group")
 
 
 def _segments(table: pa.Table) -> tuple[pa.Table, Iterator[tuple[int, int]]]:
@@ -239,27 +261,42 @@ def _joining(table: pa.Table) -> pa.Table:
 def _open(table: pa.Table) -> pa.Table:
     """Members that a likely partner of another component shares their bucket with, in the first band that both share."""
     table, segments = _segments(table)
-    names = ("rep", "component", "block", "low", "high", "band")
-    rep, comp, block, low, high, band = (table.column(c).to_numpy() for c in names)
+    names = ("rep", "component", "block", "low", "high", "band", "n_shingles")
+    rep, comp, block, low, high, band, n = (table.column(c).to_numpy() for c in names)
     regs = _registers(table.column("sketch"))
     bands = np.ascontiguousarray(regs).view(np.uint64)  # four registers of two bytes are one band
     needed = np.zeros(len(rep), bool)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def settle() -> None:
+        if waiting:
+            x, y = (np.concatenate(c) for c in zip(*waiting, strict=True))
+            likely = estimate(regs[x], regs[y], n[x].astype(float), n[y].astype(float)) >= LEAST_ESTIMATE
+            needed[x[likely]] = needed[y[likely]] = True
+            waiting.clear()
+
     for a, b in segments:
         for i in range(a, b):
-            j = np.flatnonzero((comp[a:b] != comp[i]) & ((block[a:b] != block[i]) | (low[a] == high[a]))) + a
-            j = j[(regs[j] == regs[i]).sum(axis=1) >= LEAST_ESTIMATE * REGISTERS] if len(j) else j
+            j = np.flatnonzero((comp[i + 1 : b] != comp[i]) & ((block[i + 1 : b] != block[i]) | (low[a] == high[a]))) + i + 1
+            j = j[(regs[j] == regs[i]).sum(axis=1) >= LEAST_EQUAL * REGISTERS] if len(j) else j
             if len(j):
                 j = j[(bands[j] == bands[i]).argmax(axis=1) == band[a]]
-                needed[i] |= len(j) > 0
-                needed[j] = True
+                waiting.append((np.full(len(j), i), j))
+                held += len(j)
+                if held >= PAIRS:
+                    settle()
+                    held = 0
+    settle()
     return table.select(["bucket", "low", "high", "block", "rep", "component", "n_shingles"]).filter(pa.array(needed))
 
 
-def _exact(table: pa.Table) -> pa.Table:
+def _exact(table: pa.Table, width: int) -> pa.Table:
     """Verified links that join components within each bucket: every pair across components is compared on full sets."""
     table, segments = _segments(table)
-    rep, comp, block, low, high, n = (table.column(c).to_numpy() for c in ("rep", "component", "block", "low", "high", "n_shingles"))
-    sets = list(_sets(table.column("text")))
+    rep, comp, block, low, high = (table.column(c).to_numpy() for c in ("rep", "component", "block", "low", "high"))
+    sets = list(_sets(table.column("text"), width))
+    n = np.array([len(x) for x in sets], np.int64)
     links: list[tuple[int, int]] = []
     for a, b in segments:
         flat, ids = np.unique(np.concatenate(sets[a:b]), return_inverse=True)
@@ -304,17 +341,20 @@ def _forest(rep: np.ndarray, comp: np.ndarray, n: np.ndarray, regs: np.ndarray)
     return np.stack([np.maximum(rep[x], rep[y]), np.minimum(rep[x], rep[y])])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Out: doc_id, n_shingles, component_id, kept (doc_id = component_id).
+def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
+    """Out: doc_id, n_shingles, component_id, kept (doc_id = component_id). A shingle has `shingle` words.
 
-    Null and blank texts have no shingles and are linked with nothing. Rows that repeat an id are one
-    document. An empty table gives no rows. Columns other than doc_id and text are not looked at.
+    Null and blank texts have no shingles and are linked with nothing. Rows that repeat an id are one document: with
+    different texts it has the links of all of them, and n_shingles is that of a row's own text. A row without an id can't
+    stand for a group, nor be named by one: it is linked with nothing, its component_id is null, and it is kept. An empty
+    table gives no rows. Columns other than doc_id and text are not looked at.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stored(texts.mapInArrow(_sketch_batches, "doc_id long, n_shingles long, d1 long, d2 long, sketch binary"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    rows = stored(texts.mapInArrow(_sketch_batches(shingle), "doc_id long, h long, n_shingles long, d1 long, d2 long, sketch binary"))
     same = ["n_shingles", "d1", "d2"]
-    grouped = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
-    grouped = stored(grouped)
+    grouped = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min(F.struct("doc_id", "h")).alias("one"), F.first("sketch").alias("sketch"))
+    # The number is only written, never worked out again.
+    grouped = stored(grouped.select(F.monotonically_increasing_id().alias("rep"), *same, "one.doc_id", "one.h", "sketch"))
     classes = grouped.select("rep", "n_shingles", "sketch")
     placed = classes.select("rep", "sketch").mapInArrow(_bucket_batches, "rep long, bucket long, band int")
     hubs = placed.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
@@ -324,29 +364,51 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # First each class with the likeliest of the smallest ones in its buckets, then whatever is still apart.
     stars = _likely(members.where("rep <> hub").select(F.col("rep").alias("x"), F.col("hub").alias("y")).distinct(), classes)
     tested = stored(stars.groupBy("x").agg(F.max(F.struct("like", -F.col("y"))).alias("best")).select("x", (-F.col("best.col2")).alias("y")))
-    needed = _fetched(texts, tested)
-    links = _verified(tested, needed)
+    needed = _fetched(texts, grouped, tested)
+    links = _verified(tested, needed, shingle)
+    torn, own = _torn(rows, grouped, same)
+    links = links if own is None else links.union(own)
     # Then the few pairs that may join what a bucket still holds apart.
     apart = _mixed(members, classes, components(links))
     more = stored(_by_task(apart).applyInArrow(_joining, "x long, y long").distinct().join(tested, ["x", "y"], "left_anti"))
-    needed = _fetched(texts, more, needed)
-    links = stored(links.union(_verified(more, needed)))
+    needed = _fetched(texts, grouped, more, needed)
+    links = stored(links.union(_verified(more, needed, shingle)))
     # What is apart even now is compared on full sets, all with all across components, where each bucket lies.
     apart = _mixed(members, classes, components(links))
     schema = "bucket long, low int, high int, block int, rep long, component long, n_shingles long"
     apart = stored(_by_task(apart).applyInArrow(_open, schema))
-    needed = _fetched(texts, apart.select(F.col("rep").alias("x"), F.col("rep").alias("y")), needed)
-    apart = apart.join(needed.select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"]), "rep")
-    links = stored(links.union(_by_task(apart).applyInArrow(_exact, "x long, y long")))
+    needed = _fetched(texts, grouped, apart.select(F.col("rep").alias("x"), F.col("rep").alias("y")), needed)
+    apart = apart.join(needed, "rep")
+    links = stored(links.union(_by_task(apart).applyInArrow(lambda table: _exact(table, shingle), "x long, y long")))
     labels = components(links)
 
-    named = grouped.select(*same, "rep").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    named = named.select(*same, F.coalesce("component", "rep").alias("component"))
+    # A component is named by the smallest id of its classes.
+    named = grouped.select("rep", *same, "doc_id").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    named = named.select(*same, F.coalesce("component", "rep").alias("component"), F.col("doc_id").alias("least"))
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(smallest, "component").select(*same, "component_id")
     out = rows.select("doc_id", *same).join(named, same, "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that are the smallest id of their component, with their own columns."""
-    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    part = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    out = out.select("doc_id", "n_shingles", part.alias("component_id"))
+    if torn is not None:  # a row without shingles belongs where the other texts of its id do
+        whole = out.join(torn, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("whole"))
+        out = out.join(whole, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("whole", "component_id").alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _torn(rows: DataFrame, grouped: DataFrame, same: list[str]) -> tuple[DataFrame | None, DataFrame | None]:
+    """Ids (doc_id) that stand on different texts, and links (x, y) between the classes of those; None where there is no such id."""
+    text = F.struct(*same)
+    known = rows.where("doc_id IS NOT NULL")
+    torn = stored(known.groupBy("doc_id").agg(F.min(text).alias("low"), F.max(text).alias("high")).where("low <> high").select("doc_id"))
+    if torn.isEmpty():
+        return None, None
+    several = known.join(torn, "doc_id", "left_semi").select("doc_id", *same).distinct().join(grouped.select("rep", *same), same)
+    hub = several.groupBy("doc_id").agg(F.min("rep").alias("y"))
+    return torn, stored(several.join(hub, "doc_id").where("rep <> y").select(F.col("rep").alias("x"), "y").distinct())
+
+
+def keep_one(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of `docs` that `near_duplicates` keeps, with their own columns: those of the smallest id of each component, and those without an id."""
+    gone = near_duplicates(docs, shingle=shingle).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")

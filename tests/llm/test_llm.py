@@ -120,13 +120,13 @@ def test_repeated_window_rules(spark):
     assert got == {k: counts(t)[4] for k, t in enumerate(texts)}
 
 
-def shingles(text):
+def shingles(text, width=4):
     w = tuple((text or "").encode().lower().split())
-    return {w[i : i + 4] for i in range(len(w) - 3)} if len(w) >= 4 else {w} if w else set()
+    return {w[i : i + width] for i in range(len(w) - width + 1)} if len(w) >= width else {w} if w else set()
 
 
-def brute_components(texts):
-    sets = {d: shingles(t) for d, t in texts.items()}
+def brute_components(texts, width=4):
+    sets = {d: shingles(t, width) for d, t in texts.items()}
     parent = {d: d for d in sets}
 
     def find(x):
@@ -479,7 +479,7 @@ def test_pipeline_stages(spark, docs, labels):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dup", "pii", "mixing", "pieces"]
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     good = {r["doc_id"] for r in quality_rules.quality(docs, labels).collect() if r["kept"]}
-    parts, _ = brute_components({d: texts[d] for d in good})
+    parts, _ = brute_components({d: texts[d] for d in good}, 5)
     single = {d for d in good if parts[d] == d}
     rows = corpus_pipeline.run(spark, D).collect()
     assert {r["doc_id"] for r in rows} <= single and all(r["round_trip"] for r in rows)
