@@ -82,6 +82,11 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string")) % F.lit(modulus)
 
 
+def in_fold(doc_id: Column, modulus: int, number: int) -> Column:
+    """Whether a row's id lies in a fold; false for a row without an id."""
+    return F.coalesce(fold(doc_id.cast("long"), modulus) == number, F.lit(False))
+
+
 def small_or_as_is(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """`df` written once and, if it has few rows, marked for broadcast; larger ones are joined by shuffle."""
     df = checkpoint(df)

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm._common import bounded_labels, fold, sample_texts
+from brindle.llm._common import bounded_labels, fold, in_fold, sample_texts
 
 FOLDS, HELD_OUT = 4, 2
 #: Labelled texts of each class that are learned from, at most.
@@ -115,7 +115,7 @@ def _frequencies(labels: DataFrame) -> list:
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Out: doc_id, held_out, score, predicted (score >= 0.7). Null and empty texts get the score of no difference.
 
-    Only texts are scored; rows are independent, so repeated rows get equal scores.
+    Only texts are scored; rows are independent, so repeated rows get equal scores. A row without an id is in no fold: it isn't held out.
     """
     model = docs.sparkSession.sparkContext.broadcast(vars(train(docs, labels)))  # two dictionaries of fixed size
 
@@ -128,5 +128,5 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 names=["doc_id", "held_out", "score", "predicted"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id").cast("long"), FOLDS) == HELD_OUT).alias("held_out"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), in_fold(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm import _kernel as kernel
-from brindle.llm._common import fold, sample_texts
+from brindle.llm._common import fold, in_fold, sample_texts
 
 FOLDS, HELD_OUT = 5, 0
 #: Texts of each language that are learned from, at most, and of all languages together.
@@ -157,7 +157,8 @@ def decide(model: dict, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def identify(docs: DataFrame) -> DataFrame:
     """Out: doc_id, held_out, lang_pred, score. Null texts and texts without a letter are `und` with score 0.
 
-    Without any text to learn from, every text is `und`. The whole text is read; rows are independent.
+    Without any text to learn from, every text is `und`. The whole text is read; rows are independent. A row without
+    an id is in no fold: it isn't held out. Of a language's rows at most `PARTS * PER_LANGUAGE` ids meet in one task, whatever the corpus.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs))  # machines of fixed size for each pair of languages
 
@@ -192,5 +193,5 @@ def identify(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "held_out", "lang_pred", "score"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id").cast("long"), FOLDS) == HELD_OUT).alias("held_out"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), in_fold(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
