@@ -9,14 +9,13 @@ Forward values: for a unigram model, the best score of each prefix and the piece
 merge (BPE) model, the piece that ends the prefix in its merged form. There a path's transition
 (p, q) is allowed where merging the characters of p and q gives exactly [p, q]; of all paths only one
 has allowed transitions throughout, and it is the model's own encoding, so the pass is a Viterbi with
-transition weights 0 and minus infinity. Characters outside the vocabulary become byte pieces. Words
-with a run of several marks, whose pieces tie in score, are merged directly.
+transition weights 0 and minus infinity. Characters outside the vocabulary become byte pieces. Runs of
+marks are words like others: their pieces tie in score, and of ties the leftmost merges first, in a pair as in the whole.
 """
 
 from __future__ import annotations
 
 import gc
-import heapq
 import re
 import sys
 import threading
@@ -34,8 +33,11 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words whose ids, and transitions whose verdicts, a worker remembers; beyond it the memory is emptied and filled anew.
-REMEMBERED = 1_000_000
+#: Bytes, as estimated, of the words with their ids and the transitions with their verdicts that a worker remembers; beyond it the
+#: memory is emptied and filled anew.
+REMEMBERED = 300 << 20
+#: Bytes of a remembered word beside its letters and ids, and of a transition.
+WORD_BYTES, TRANSITION_BYTES = 190, 110
 #: Seconds after its last task at which a worker forgets what it has learned.
 IDLE_S = 5.0
 CHUNK_CHARS = 1 << 21
@@ -94,6 +96,7 @@ class Encoder:
         self.allowed: dict[int, bool] = {}
         self.computed = 0  # prefixes whose forward value was computed, for tests
         self._bytes = vocabulary.byte_ids
+        self.held = 0  # bytes of words remembered
 
     def words(self, text: str) -> list[str]:
         return self.split(MARK + text.replace(" ", MARK)) if text else []
@@ -101,10 +104,10 @@ class Encoder:
     def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
         """Ids of each text."""
         split = [self.words(t) for t in texts]
-        if len(self.ids) > self.remembered:
+        if self.held + TRANSITION_BYTES * len(self.allowed) > self.remembered:
             self.ids.clear()
-        if len(self.allowed) > self.remembered:
             self.allowed.clear()
+            self.held = 0
         get = self.ids.get
         found = [list(map(get, words)) for words in split]
         new: set[str] = set()
@@ -117,11 +120,11 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Depth-first over the trie of the sorted words."""
-        direct = [w for w in words if len(w) > 1 and w[1] == MARK and self.v.merges]
-        for w in direct:
-            self.ids[w] = _packed([self.numbers[p] for p in merge(w, self.v.scores)])
-        learn = self._learn_merged if self.v.merges else self._learn_best
-        learn([w for w in words if w not in self.ids])
+        (self._learn_merged if self.v.merges else self._learn_best)(words)
+
+    def _keep(self, word: str, ids: Sequence[int]) -> None:
+        self.ids[word] = packed = array("i", ids).tobytes()
+        self.held += WORD_BYTES + 2 * len(word) + len(packed)
 
     def _learn_merged(self, words: list[str]) -> None:
         numbers, allowed, lengths, short = self.numbers.get, self.allowed, self.lengths.get, (2, 1)
@@ -130,7 +133,7 @@ class Encoder:
         starts, pieces = [0], [-1]  # of the last piece of each prefix of the word before
         for w in words:
             if len(w) == 1 and w not in self.numbers:
-                self.ids[w] = _packed(self._unknown(w))
+                self._keep(w, self._unknown(w))
                 continue
             shared, n = 0, len(w)
             for a, b in zip(before, w):
@@ -158,10 +161,10 @@ class Encoder:
                 path.append(pieces[end])
                 end = starts[end]
             path.reverse()
-            self.ids[w] = _packed(path)
+            self._keep(w, path)
 
     def _follows(self, last: int, piece: int) -> bool:
-        """Merges the characters of both, as `merge` does, with lists for so short a text."""
+        """Merges the characters of both: again and again the best-scored neighbours, the leftmost of equals, become one."""
         one, other = self.names.get(last, ""), self.names[piece]
         parts = list(one + other)
         score, none = self.ranks.get, -float("inf")
@@ -199,7 +202,7 @@ class Encoder:
                 start = values[end][1]
                 path.append(w[start:end])
                 end = start
-            self.ids[w] = _packed([i for p in reversed(path) for i in ((self.numbers[p],) if p in self.numbers else self._unknown(p))])
+            self._keep(w, [i for p in reversed(path) for i in ((self.numbers[p],) if p in self.numbers else self._unknown(p))])
 
     def _unknown(self, text: str) -> tuple[int, ...]:
         return tuple(self._bytes[b] for b in text.encode("utf-8", "replace")) if self._bytes else (self.v.unknown,)
@@ -221,38 +224,6 @@ class Encoder:
         return best
 
 
-def _packed(ids: Sequence[int]) -> bytes:
-    return array("i", ids).tobytes()
-
-
-def merge(text: str, scores: dict[str, tuple[int, float]]) -> list[str]:
-    """Merged form of characters: again and again the best-scored neighbours, the leftmost of equals, become one."""
-    parts: list[str | None] = list(text)
-    left, right = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
-    heap: list[tuple[float, int, str]] = []
-
-    def offer(i: int) -> None:
-        if i >= 0 and right[i] < len(parts):
-            pair = parts[i] + parts[right[i]]  # type: ignore[operator]
-            if pair in scores:
-                heapq.heappush(heap, (-scores[pair][1], i, pair))
-
-    for i in range(len(parts) - 1):
-        offer(i)
-    while heap:
-        _, i, pair = heapq.heappop(heap)
-        j = right[i]
-        if parts[i] is None or j >= len(parts) or parts[i] + parts[j] != pair:  # type: ignore[operator]
-            continue
-        parts[i], parts[j] = pair, None
-        right[i] = right[j]
-        if right[j] < len(parts):
-            left[right[j]] = i
-        offer(left[i])
-        offer(i)
-    return [p for p in parts if p is not None]
-
-
 class Decoder:
     """Text of ids: bytes are put together, marks become blanks, the one in front goes."""
 
@@ -285,7 +256,7 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, *, remembered: int = R
 
     A null text has null ids and round_trip, and 0 tokens; an empty one has no ids. A text that
     holds the mark itself decodes to a blank in its place, as in the model's own library, and is the only
-    kind with round_trip false. Rows are independent; other columns are not looked at. `remembered` trades a
+    kind with round_trip false. Rows are independent; other columns are not looked at. `remembered` (bytes) trades a
     worker's memory for time and changes no result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(vocabulary))  # tens of thousands of pieces, whatever the corpus
@@ -294,12 +265,22 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, *, remembered: int = R
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # What a worker has learned serves its later tasks too: it stays in a module of its own, one encoder
         # at a time, and goes when no task has come for a while.
-        kept = sys.modules.setdefault("_brindle_pieces", types.ModuleType("_brindle_pieces"))
-        if (timer := getattr(kept, "timer", None)) is not None:
-            timer.cancel()
-        if getattr(kept, "name", None) != name:
-            kept.__dict__.update(name=name, encoder=Encoder(Vocabulary(**shared.value), remembered))
-        encoder, decoder = kept.encoder, Decoder(Vocabulary(**shared.value))  # type: ignore[attr-defined]
+        kept = types.ModuleType("_brindle_pieces")
+        kept.__dict__.update(lock=threading.Lock(), running=0, name=None, encoder=None, timer=None)
+        kept = sys.modules.setdefault("_brindle_pieces", kept)
+
+        def forget() -> None:
+            with kept.lock:
+                if not kept.running:
+                    kept.__dict__.update(name=None, encoder=None)
+
+        with kept.lock:
+            kept.running += 1
+            if kept.timer is not None:
+                kept.timer.cancel()
+            if kept.name != name:
+                kept.__dict__.update(name=name, encoder=Encoder(Vocabulary(**shared.value), remembered))
+            encoder, decoder = kept.encoder, Decoder(Vocabulary(**shared.value))
         gc.disable()  # what is made here holds no cycles, and what is remembered is large to walk through
         try:
             for batch in batches:
@@ -318,9 +299,11 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, *, remembered: int = R
                     )
         finally:
             gc.enable()
-            kept.timer = threading.Timer(IDLE_S, kept.__dict__.update, kwargs={"name": None, "encoder": None})  # type: ignore[attr-defined]
-            kept.timer.daemon = True  # type: ignore[attr-defined]
-            kept.timer.start()  # type: ignore[attr-defined]
+            with kept.lock:
+                kept.running -= 1
+                kept.timer = threading.Timer(IDLE_S, forget)
+                kept.timer.daemon = True
+                kept.timer.start()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean")

@@ -33,7 +33,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of pieces of every document: doc_id, n_tokens, token_ids, round_trip."""
     # Workers still hold memory of the stages before: they remember fewer words than in a run of their own.
-    return pieces.encode_texts(docs, pieces.Vocabulary.read(), remembered=250_000)
+    return pieces.encode_texts(docs, pieces.Vocabulary.read(), remembered=75 << 20)
 
 
 STAGES = [

@@ -337,6 +337,22 @@ def test_pieces_equal_the_library(docs):
     assert [decoder.decode(x.tolist()) for x in got] == [library.decode(x) for x in library.encode(texts)]
 
 
+def test_runs_of_blanks_equal_the_library():
+    import random
+
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    encoder = pieces.Encoder(pieces.Vocabulary.read())
+    r = random.Random(3)
+    some = "def return x the international self in to a b1 é 日本 if else print(x) for i== ## \n \t 😀 for(".split(" ")
+    texts = [" " * r.randint(0, 70) + "".join(r.choice(some) + " " * r.choice([0, 1, 1, 2, 3, 4, 5, 7, 8, 9, 15, 16, 17, 31, 32, 33, 65]) for _ in range(r.randint(1, 12))) for _ in range(600)]
+    assert [x.tolist() for x in encoder.encode(texts)] == library.encode(texts)
+    # So they do if next to nothing is remembered.
+    small = pieces.Encoder(pieces.Vocabulary.read(), 1)
+    assert [x.tolist() for t in texts[:60] for x in small.encode([t])] == library.encode(texts[:60]) and len(small.ids) < 60
+
+
 def test_unigram_is_the_best_path():
     r = np.random.default_rng(3)
     letters = "ab" + pieces.MARK
