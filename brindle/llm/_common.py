@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; fall back to a temporary one only where none is configured."""
+    """Use the cluster's shared folder. Only a local session without one gets a temporary folder: elsewhere executors share none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="brindle-checkpoint-"))
 
 
@@ -31,15 +35,48 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders of this process's intermediate tables, in order.
+_written: list[str] = []
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder that isn't there yet, in the shared one."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Write `df` as Parquet under the shared checkpoint folder and read it back: lineage is cut and sizes are known."""
+    """Write `df` as Parquet under the shared checkpoint folder and read it back: lineage is cut and sizes are known.
+
+    The table stays until `discard` or `intermediates` deletes it, since the frames made of it are lazy.
+    """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    path = new_folder(spark, "stored")
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete folders of intermediate tables, all of this process's if none are named. Frames that read them can't be used again."""
+    hadoop, configuration = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in list(_written) if paths is None else paths:
+        folder = hadoop(path)
+        folder.getFileSystem(configuration).delete(folder, True)
+        if path in _written:
+            _written.remove(path)
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end, the intermediate tables written inside: for steps whose results are written there."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        discard(spark, _written[before:])
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let the driver notice which shuffles nothing refers to any more, so that executors delete their files."""
     gc.collect()

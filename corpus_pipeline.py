@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm import mixing, near_dup, pieces, pii, quality_rules
-from brindle.llm._common import ensure_checkpoint_dir, table
+from brindle.llm._common import discard, intermediates, new_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,11 +47,18 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to `documents`. Between stages rows go through Parquet in the shared folder."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """The stages applied to `documents`. Between stages rows go through Parquet in the shared folder.
+
+    What a stage wrote for itself goes when its rows are written, and those when the next stage's are; only the last
+    ones stay, which the result reads.
+    """
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        folder = new_folder(spark, f"pipeline-{name}")
+        with intermediates(spark):
+            stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+        if last:
+            discard(spark, [last])
+        last = folder
     return STAGES[-1][1](spark, docs, sf_dir)
