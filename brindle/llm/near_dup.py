@@ -46,7 +46,7 @@ LEAST_EQUAL = 0.45
 #: Shingles of the members of a bucket that are compared with one another in one task; larger buckets are cut into blocks.
 BLOCK = 1 << 19
 #: Shingles of small buckets that share a task.
-TASK = 1 << 17
+TASK = 1 << 18
 #: Tasks of a stage that compares within buckets, at most; beyond it a task has several groups.
 MOST_TASKS = 20_000
 #: Pairs whose similarity is estimated at once.
@@ -186,17 +186,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return stored(both.mapInArrow(_verify_batches(width), "x long, y long"))
 
 
-def _fetched(texts: DataFrame, grouped: DataFrame, pairs: DataFrame, have: DataFrame | None = None) -> DataFrame:
-    """One text (rep, text) of each class in pairs, added to those that are there."""
+def _fetched(texts: DataFrame, grouped: DataFrame, pairs: DataFrame, have: DataFrame | None, repeated: bool) -> DataFrame:
+    """One text (rep, text) of each class in pairs, added to those that are there. `repeated`: whether ids stand on several rows."""
     reps = pairs.select(F.explode(F.array("x", "y")).alias("rep")).distinct()
     if have is not None:
         reps = reps.join(have.select("rep"), "rep", "left_anti")
     wanted = stored(reps.join(grouped.select("rep", "doc_id", "h"), "rep"))
     if have is not None and wanted.isEmpty():
         return have
-    # Rows that repeat an id and its text are one: the first of them is as good as any.
-    found = texts.join(wanted, ["doc_id", "h"]).groupBy("doc_id", "h", "rep").agg(F.first("text").alias("text"))
-    found = stored(found.select("rep", "text"))
+    found = texts.join(wanted, ["doc_id", "h"]).select("rep", "text")
+    if repeated:  # rows that repeat an id and its text are one: the first of them is as good as any
+        found = found.groupBy("rep").agg(F.first("text").alias("text"))
+    found = stored(found)
     release_shuffles(texts.sparkSession)
     return found if have is None else have.union(found)
 
@@ -279,7 +280,8 @@ def _open(table: pa.Table) -> pa.Table:
     for a, b in segments:
         for i in range(a, b):
             j = np.flatnonzero((comp[i + 1 : b] != comp[i]) & ((block[i + 1 : b] != block[i]) | (low[a] == high[a]))) + i + 1
-            j = j[(regs[j] == regs[i]).sum(axis=1) >= LEAST_EQUAL * REGISTERS] if len(j) else j
+            # As many equal registers are needed as the least estimate says: their number errs no more than that.
+            j = j[(regs[j] == regs[i]).sum(axis=1) >= LEAST_ESTIMATE * REGISTERS] if len(j) else j
             if len(j):
                 j = j[(bands[j] == bands[i]).argmax(axis=1) == band[a]]
                 waiting.append((np.full(len(j), i), j))
@@ -364,20 +366,22 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
     # First each class with the likeliest of the smallest ones in its buckets, then whatever is still apart.
     stars = _likely(members.where("rep <> hub").select(F.col("rep").alias("x"), F.col("hub").alias("y")).distinct(), classes)
     tested = stored(stars.groupBy("x").agg(F.max(F.struct("like", -F.col("y"))).alias("best")).select("x", (-F.col("best.col2")).alias("y")))
-    needed = _fetched(texts, grouped, tested)
+    several = _repeated_ids(rows, same)
+    repeated, torn = not several.isEmpty(), several.where("torn").select("doc_id")
+    torn = None if not repeated or torn.isEmpty() else torn
+    needed = _fetched(texts, grouped, tested, None, repeated)
     links = _verified(tested, needed, shingle)
-    torn, own = _torn(rows, grouped, same)
-    links = links if own is None else links.union(own)
+    links = links if torn is None else links.union(_torn_links(rows, torn, grouped, same))
     # Then the few pairs that may join what a bucket still holds apart.
     apart = _mixed(members, classes, components(links))
     more = stored(_by_task(apart).applyInArrow(_joining, "x long, y long").distinct().join(tested, ["x", "y"], "left_anti"))
-    needed = _fetched(texts, grouped, more, needed)
+    needed = _fetched(texts, grouped, more, needed, repeated)
     links = stored(links.union(_verified(more, needed, shingle)))
     # What is apart even now is compared on full sets, all with all across components, where each bucket lies.
     apart = _mixed(members, classes, components(links))
     schema = "bucket long, low int, high int, block int, rep long, component long, n_shingles long"
     apart = stored(_by_task(apart).applyInArrow(_open, schema))
-    needed = _fetched(texts, grouped, apart.select(F.col("rep").alias("x"), F.col("rep").alias("y")), needed)
+    needed = _fetched(texts, grouped, apart.select(F.col("rep").alias("x"), F.col("rep").alias("y")), needed, repeated)
     apart = apart.join(needed, "rep")
     links = stored(links.union(_by_task(apart).applyInArrow(lambda table: _exact(table, shingle), "x long, y long")))
     labels = components(links)
@@ -396,16 +400,18 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _torn(rows: DataFrame, grouped: DataFrame, same: list[str]) -> tuple[DataFrame | None, DataFrame | None]:
-    """Ids (doc_id) that stand on different texts, and links (x, y) between the classes of those; None where there is no such id."""
+def _repeated_ids(rows: DataFrame, same: list[str]) -> DataFrame:
+    """Ids that stand on several rows: doc_id, torn (whether on different texts)."""
     text = F.struct(*same)
-    known = rows.where("doc_id IS NOT NULL")
-    torn = stored(known.groupBy("doc_id").agg(F.min(text).alias("low"), F.max(text).alias("high")).where("low <> high").select("doc_id"))
-    if torn.isEmpty():
-        return None, None
-    several = known.join(torn, "doc_id", "left_semi").select("doc_id", *same).distinct().join(grouped.select("rep", *same), same)
+    each = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), (F.min(text) < F.max(text)).alias("torn"))
+    return stored(each.where("n > 1").select("doc_id", "torn"))
+
+
+def _torn_links(rows: DataFrame, torn: DataFrame, grouped: DataFrame, same: list[str]) -> DataFrame:
+    """Links (x, y) between the classes that share an id, which stands on texts of each."""
+    several = rows.join(torn, "doc_id", "left_semi").select("doc_id", *same).distinct().join(grouped.select("rep", *same), same)
     hub = several.groupBy("doc_id").agg(F.min("rep").alias("y"))
-    return torn, stored(several.join(hub, "doc_id").where("rep <> y").select(F.col("rep").alias("x"), "y").distinct())
+    return stored(several.join(hub, "doc_id").where("rep <> y").select(F.col("rep").alias("x"), "y").distinct())
 
 
 def keep_one(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
