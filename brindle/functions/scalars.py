@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -219,6 +219,18 @@ def segment_glob(pattern: str, value: Column) -> Column:
     return value.startswith(pattern[:-1]) if pattern.endswith("*") else value == pattern
 
 
+def nearest_lower(rows: DataFrame, by: list[str], value: str, p: float, name: str) -> DataFrame:
+    """Element floor((n - 1) * p) of each group's sorted non-null values, null for a group without any.
+
+    Values are counted first, so a group's rows are never in one place: only its distinct values are put in order.
+    """
+    counts = rows.groupBy(*by, value).agg(F.when(F.col(value).isNotNull(), F.count("*")).otherwise(0).alias("__n"))
+    up = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_first())
+    placed = counts.withColumn("__upto", F.sum("__n").over(up)).withColumn("__all", F.sum("__n").over(Window.partitionBy(*by)))
+    at = F.floor((F.col("__all") - 1) * F.lit(p)) + 1
+    return placed.groupBy(*by).agg(F.min(F.when((F.col("__upto") >= at) & (F.col("__n") > 0), F.col(value))).alias(name))
+
+
 def nearest_lower_percentile(values: Column, p: float) -> Column:
     """Element floor((n - 1) * p) of a sorted array of non-null values."""
     ordered = F.array_sort(values)
@@ -229,3 +241,28 @@ def trace_sampled(trace_id: Column, parent_sampled: Column, ratio: float) -> Col
     """The parent's flag if there is one, else the low 52 bits of the trace id under the ratio."""
     low = F.conv(F.right(trace_id, F.lit(13)), 16, 10).cast("double")
     return F.coalesce(parent_sampled, low < F.lit(ratio * float(1 << 52)))
+
+
+def sorted_distinct(values: Column) -> Column:
+    """Distinct elements in order, without nulls."""
+    return F.array_sort(F.array_distinct(F.array_compact(values)))
+
+
+def json_type(payload: Column) -> Column:
+    """The text under `type` of a JSON object; null where the payload is no JSON or has none."""
+    return F.get_json_object(payload, "$.type")
+
+
+def vector_from_json(text: Column) -> Column:
+    """Components of a JSON array of numbers as floats; null where the text is none."""
+    return F.from_json(text, "array<float>")
+
+
+def vector_to_json(values: Column) -> Column:
+    return F.to_json(values)
+
+
+def vector_info(values: Column) -> Column:
+    """dimensions, bytes of the little-endian float32 form, and Euclidean length."""
+    square = F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return F.struct(F.size(values).alias("dimensions"), (F.size(values) * 4).alias("bytes"), F.sqrt(square).alias("length"))

@@ -47,3 +47,9 @@ def retryable(now_ms: int) -> Column:
 def audit_tail(entries: DataFrame, last: int) -> DataFrame:
     """The newest entries, oldest of them first."""
     return entries.orderBy(F.desc("id")).limit(last).orderBy("id")
+
+
+def object_counts(objects: DataFrame) -> DataFrame:
+    """Objects by namespace and worker, and by those and class (null where all classes count), from one scan."""
+    sets = [["namespace", "worker"], ["namespace", "worker", "class"]]
+    return objects.groupingSets(sets, "namespace", "worker", "class").agg(F.count("*").alias("n"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.scalars import default_outcome, duration_ms, severity, trace_ids
+from brindle.functions.scalars import default_outcome, duration_ms, minute_bucket, severity, trace_ids
 
+# Upper bounds of the duration histogram, in seconds.
 BOUNDS = (0.005, 0.025, 0.1, 0.5, 1.0, 5.0)
 
 
@@ -69,3 +70,14 @@ def parse_ingest(lines: DataFrame, column: str = "value") -> DataFrame:
 def fresh_subscriptions(entries: DataFrame, subscriptions: DataFrame, now_ms: int) -> DataFrame:
     """Entries of workers with a subscription that hasn't lapsed."""
     return entries.join(subscriptions.where(F.col("expires_ms") > now_ms).select("namespace", "worker").distinct(), ["namespace", "worker"], "left_semi")
+
+
+def outcome_counts(events: DataFrame, by: list[str]) -> DataFrame:
+    """Number of events by given columns, kind and outcome, in order of all."""
+    names = [*by, "kind", "outcome"]
+    return events.groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names)
+
+
+def minute_counts(events: DataFrame, at_ms: str) -> DataFrame:
+    """Events in each minute."""
+    return events.groupBy(minute_bucket(F.col(at_ms)).alias("minute")).agg(F.count("*").alias("n"))

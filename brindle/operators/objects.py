@@ -169,3 +169,13 @@ def worker_first(path: Column, patterns: list[str]) -> Column:
         return F.coalesce(reduce(lambda a, b: a | b, tests, F.lit(False)), F.lit(False))
 
     return some([hit(p) for p in patterns if p and not p.startswith("!")]) & ~some([hit(p[1:]) for p in patterns if p.startswith("!")])
+
+
+def published(objects: DataFrame) -> DataFrame:
+    """Objects that listings show: published and not deleted."""
+    return objects.where(F.col("published") & ~F.col("deleted"))
+
+
+def upload_counts(parts: DataFrame) -> DataFrame:
+    """Uploads and parts under keys `upload/part`: n_uploads, n_parts, n_bytes."""
+    return parts.agg(F.count_distinct(F.split_part("key", F.lit("/"), F.lit(1))).alias("n_uploads"), F.count("*").alias("n_parts"), F.coalesce(F.sum("size"), F.lit(0)).alias("n_bytes"))

@@ -45,10 +45,18 @@ def merge_ranges(ranges: DataFrame, by: list[str]) -> DataFrame:
 
 
 def uncovered(segments: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
-    """Segments (min_txid, max_txid) that no merged range contains."""
-    merged = merge_ranges(ranges, by)
-    inside = [segments[c] == merged[c] for c in by] + [segments["min_txid"] >= merged["lo"], segments["max_txid"] <= merged["hi"]]
-    return segments.join(merged, inside, "left_anti")
+    """Segments (min_txid, max_txid) that no merged range contains.
+
+    Merged ranges are apart, so only the last one that begins at or before a segment can hold it: a running maximum over both, in
+    order, finds its end, and no segment is joined with the ranges of its key. Segments with a null end are covered by none.
+    """
+    names = segments.columns
+    ends = merge_ranges(ranges, by).select(*by, F.col("lo").alias("__at"), F.col("hi").alias("__hi"), F.lit(0).alias("__kind"))
+    rows = segments.select("*", F.col("min_txid").alias("__at"), F.lit(None).cast("long").alias("__hi"), F.lit(1).alias("__kind"))
+    both = rows.unionByName(ends, allowMissingColumns=True)
+    w = Window.partitionBy(*by).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    reach = both.withColumn("__reach", F.max("__hi").over(w)).where("__kind = 1")
+    return reach.where(~F.coalesce(F.col("max_txid") <= F.col("__reach"), F.lit(False))).select(*names)
 
 
 def page_runs(pages: DataFrame, by: list[str]) -> DataFrame:
@@ -136,3 +144,89 @@ def backlog(segments: DataFrame, ranges: DataFrame, by: list[str], now_ms: int)
     )
     done = ranges.groupBy(*by).agg(F.max("hi").alias("covered_txid"))
     return left.join(done, by, "left").withColumn("lag", F.col("newest_txid") - F.coalesce("covered_txid", F.lit(0))).drop("newest_txid", "covered_txid")
+
+
+def page_stats(pages: DataFrame) -> DataFrame:
+    """Of each object (name, kind, n_cells, bytes, unused): its pages, leaves, overflow pages, cells of leaves, bytes and unused bytes."""
+    return pages.groupBy("name").agg(
+        F.count("*").alias("n_pages"),
+        F.count_if(F.col("kind") == "leaf").alias("n_leaves"),
+        F.count_if(F.col("kind") == "overflow").alias("n_overflow"),
+        F.coalesce(F.sum(F.when(F.col("kind") == "leaf", F.col("n_cells"))), F.lit(0)).alias("n_cells"),
+        F.sum("bytes").alias("bytes"),
+        F.sum("unused").alias("unused"),
+    )
+
+
+def page_index(segments: DataFrame, by: list[str], header: int) -> DataFrame:
+    """Where the newest version of each page lies: page_no, segment_no, offset, size.
+
+    `segments`: segment_no, position, page_no, size: frames in the order of their file, which begins with `header` bytes.
+    """
+    w = Window.partitionBy(*by, "segment_no").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    placed = segments.withColumn("offset", F.lit(header) + F.coalesce(F.sum("size").over(w), F.lit(0)))
+    best = F.max_by(F.struct("segment_no", "offset", "size"), F.struct("segment_no", "position")).alias("n")
+    return placed.groupBy(*by, "page_no").agg(best).select(*by, "page_no", "n.segment_no", F.col("n.offset").cast("long").alias("offset"), "n.size")
+
+
+def byte_chunks(rows: DataFrame, by: list[str], order: str, size: str, most: int) -> DataFrame:
+    """Adds `chunk`: rows in order are packed greedily, each chunk as long as its sizes fit `most`, at least one row.
+
+    Where a chunk begins depends on the one before, so a group is walked in one task; a group is the segment list of one database.
+    """
+    import pandas as pd
+
+    schema = ", ".join([*(f"`{c}` {kind}" for c, kind in rows.dtypes), "chunk long"])
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order)
+        chunk, held, out = 0, 0, []
+        for k, n in enumerate(group[size]):
+            if k and held + n > most:
+                chunk, held = chunk + 1, 0
+            held += n
+            out.append(chunk)
+        group["chunk"] = out
+        return group
+
+    return rows.groupBy(*by).applyInPandas(walk, schema)
+
+
+#: Level of snapshots, which begin with the first transaction.
+SNAPSHOT_LEVEL = 9
+
+
+def level_chain(segments: DataFrame, by: list[str]) -> DataFrame:
+    """Greedy chain over segments of several levels (level, min_txid, max_txid): step, level, min_txid, max_txid, gap.
+
+    The snapshot that reaches farthest comes first; then, again and again, the segment that begins inside or next to the chain
+    and reaches farthest, of equals the one with the lower begin, then with the higher level. A gap before the end shows as
+    `gap` in the last step; without any step there is no row.
+    """
+    import pandas as pd
+
+    keys = [f.name for f in segments.schema if f.name in by]
+    schema = ", ".join([*(f"{c} {kind}" for c, kind in segments.dtypes if c in by), "step int, level int, min_txid long, max_txid long, gap boolean"])
+
+    def walk(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        files = [(int(r.max_txid), -int(r.min_txid), int(r.level)) for r in group.itertuples()]
+        whole = [f for f in files if f[2] == SNAPSHOT_LEVEL and f[1] == -1]
+        chain = [max(whole)] if whole else []
+        open_ = sorted((f for f in files if f[2] != SNAPSHOT_LEVEL), key=lambda f: -f[1])
+        k, gap = 0, False
+        while True:
+            end, best = chain[-1][0] if chain else 0, None
+            while k < len(open_) and -open_[k][1] <= end + 1:
+                if open_[k][0] > end and (best is None or open_[k] > best):
+                    best = open_[k]
+                k += 1
+            if best is None:
+                gap = k < len(open_)
+                break
+            chain.append(best)
+        out = pd.DataFrame([(n, f[2], -f[1], f[0], gap and n == len(chain) - 1) for n, f in enumerate(chain)], columns=["step", "level", "min_txid", "max_txid", "gap"])
+        for c, v in zip(by, key, strict=True):
+            out.insert(0, c, v)
+        return out[[*keys, "step", "level", "min_txid", "max_txid", "gap"]]
+
+    return segments.groupBy(*by).applyInPandas(walk, schema)

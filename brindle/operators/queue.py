@@ -103,3 +103,26 @@ def after_settle(messages: DataFrame, settled: DataFrame, now_ms: int) -> tuple[
     back = settled.where("fate = 'retry'").withColumn("visible_at_ms", (F.lit(now_ms) + F.coalesce("delay_s", F.lit(0)) * 1000).cast("long")).withColumn("lease_until_ms", F.lit(0).cast("long"))
     rest = messages.join(settled.select("id"), "id", "left_anti").select(*messages.columns)
     return rest.unionByName(back.select(*messages.columns)), settled.where("fate = 'dead'").select(*messages.columns)
+
+MOST_BODY_BYTES = 128 << 10
+# What a body may be.
+CONTENT_TYPES = ("json", "text", "bytes", "v8")
+
+
+def refused(batch: DataFrame) -> DataFrame:
+    """Messages (id, body, content_type, delay_s) that may not be sent, with `reason`: too large, of an unknown type, or delayed too long."""
+    size = F.octet_length("body") > MOST_BODY_BYTES
+    kind = ~F.coalesce(F.col("content_type").isin(*CONTENT_TYPES), F.lit(False))
+    delay = ~F.coalesce("delay_s", F.lit(0)).between(0, MOST_DELAY_S)
+    reason = F.when(F.col("body").isNull() | size, "size").when(kind, "type").when(delay, "delay")
+    return batch.withColumn("reason", reason).where(F.col("reason").isNotNull())
+
+
+def purge(messages: DataFrame, before_ms: int | None = None) -> DataFrame:
+    """Next state without the messages, all or those made before a time; leased ones go too."""
+    return messages.limit(0) if before_ms is None else messages.where(F.col("created_ms") >= before_ms)
+
+
+def remove_source(messages: DataFrame, source: str) -> DataFrame:
+    """Next state without the messages that came from a source; messages without one stay."""
+    return messages.where(~F.col("source").eqNullSafe(source))

@@ -50,3 +50,33 @@ def cron_slots(minutes: DataFrame, targets: list[tuple[str, str, str]]) -> DataF
     hits = [F.when(cron.parse(expr).column(F.col("ts")), F.struct(F.lit(ns).alias("namespace"), F.lit(worker).alias("worker"), F.lit(expr).alias("cron"))) for ns, worker, expr in targets]
     each = minutes.select(F.col("ts").alias("slot"), F.explode(F.array_compact(F.array(*hits))).alias("t"))  # one scan for all schedules
     return each.select("t.namespace", "t.worker", "t.cron", "slot").distinct()
+
+
+def fire_counts(fires: DataFrame) -> DataFrame:
+    """Number of fires by kind and outcome."""
+    return fires.groupBy("kind", "outcome").agg(F.count("*").alias("n"))
+
+
+def earliest_by_scope(timers: DataFrame) -> DataFrame:
+    """The timer of each scope that is due first, ties to the smaller token."""
+    return timers.groupBy("scope").agg(F.min(F.struct("due_ms", "token")).alias("first")).select("scope", "first.due_ms", "first.token")
+
+
+def dispatch(timers: DataFrame, retries: DataFrame, fired: DataFrame, outcomes: DataFrame, now_ms: int, *, keep_ms: int = 24 * 3600 * 1000, most_attempts: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Next state of (timers, retries, fired) after due timers were tried; `outcomes`: token, ok.
+
+    A timer that went well is marked as fired for `keep_ms` and goes, with its retry. One that failed is tried again later; with
+    `most_attempts` the last failure marks it as fired all the same. Outcomes of timers that aren't due count for nothing.
+    """
+    ready = due(timers, retries, fired, now_ms).join(outcomes.select("token", "ok"), "token")
+    tries = F.col("attempt") + 1
+    ended = F.col("ok") | (F.lit(most_attempts > 0) & (tries >= most_attempts))
+    tried = ready.select("token", tries.cast("int").alias("attempt"), ended.alias("ended"))
+    gone, again = tried.where("ended"), tried.where("NOT ended")
+    marks = gone.select("token", F.lit(now_ms + keep_ms).cast("long").alias("expires_ms"))
+    later = again.select("token", "attempt", (F.lit(now_ms) + retry_delay_ms(F.col("attempt"))).cast("long").alias("retry_after_ms"))
+    return (
+        timers.join(gone.select("token"), "token", "left_anti"),
+        retries.select(*later.columns).join(tried.select("token"), "token", "left_anti").unionByName(later),
+        fired.select(*marks.columns).join(gone.select("token"), "token", "left_anti").unionByName(marks),
+    )

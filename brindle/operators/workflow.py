@@ -59,3 +59,44 @@ def replay(steps: DataFrame, planned: DataFrame) -> DataFrame:
     """Planned steps with the stored result of those that are complete."""
     done = steps.select("instance_id", "name", "result", F.lit(True).alias("done"))
     return planned.join(done, ["instance_id", "name"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
+
+
+def settle_steps(steps: DataFrame, outcomes: DataFrame, now_ms: int, limit: int = 0) -> DataFrame:
+    """Next state of steps (instance_id, name, attempts) after outcomes (instance_id, name, ok, retryable, delay_ms, result).
+
+    A success stores its result and clears the attempts. A failure counts one more and fails the step for good when it can't be retried
+    or the attempts exceed `limit`; else it sleeps until now plus its delay. A step without an outcome stays as it is.
+    """
+    told = outcomes.select("instance_id", "name", "ok", "retryable", "delay_ms", "result")
+    joined = steps.select("instance_id", "name", "attempts").join(told, ["instance_id", "name"], "full")
+    attempts = F.when(F.col("ok"), F.lit(0)).otherwise(F.coalesce("attempts", F.lit(0)) + F.when(F.col("ok").isNull(), 0).otherwise(1))
+    over = ~F.coalesce("retryable", F.lit(True)) | (attempts > limit)
+    state = F.when(F.col("ok").isNull(), "waiting").when(F.col("ok"), "complete").when(over, "failed").otherwise("sleeping")
+    wake = F.when(state == "sleeping", (F.lit(now_ms) + F.coalesce("delay_ms", F.lit(0))).cast("long"))
+    return joined.select("instance_id", "name", attempts.cast("long").alias("attempts"), state.alias("state"), wake.alias("wake_ms"), F.when(F.col("ok"), F.col("result")).alias("result"))
+
+
+def park(instances: DataFrame, parked: DataFrame) -> DataFrame:
+    """Next state after runs (id, generation, wake_ms) go to sleep: queued again, their lease given back, if they still hold it."""
+    told = parked.select("id", F.col("generation").alias("__g"), F.col("wake_ms").alias("__wake"))
+    own = F.col("__g").isNotNull() & (F.col("__g") == F.col("generation")) & (F.col("status") == "running")
+    joined = instances.join(told, "id", "left")
+    return joined.select(
+        *[c for c in instances.columns if c not in ("status", "lease_until_ms")],
+        F.when(own, "queued").otherwise(F.col("status")).alias("status"),
+        F.when(own, F.lit(0)).otherwise(F.col("lease_until_ms")).cast("long").alias("lease_until_ms"),
+        F.when(own, F.col("__wake")).alias("wake_ms"),
+    )
+
+
+def finish(instances: DataFrame, ended: DataFrame, now_ms: int) -> DataFrame:
+    """Next state after runs (id, generation, status) end. A run whose lease went to another generation, or that has ended, changes nothing."""
+    told = ended.select("id", F.col("generation").alias("__g"), F.col("status").alias("__s"))
+    own = F.col("__g").isNotNull() & (F.col("__g") == F.col("generation")) & (F.col("status") == "running")
+    joined = instances.join(told, "id", "left")
+    return joined.select(
+        *[c for c in instances.columns if c not in ("status", "lease_until_ms", "updated_ms")],
+        F.when(own, F.col("__s")).otherwise(F.col("status")).alias("status"),
+        F.when(own, F.lit(0)).otherwise(F.col("lease_until_ms")).cast("long").alias("lease_until_ms"),
+        F.when(own, F.lit(now_ms)).otherwise(F.col("updated_ms")).cast("long").alias("updated_ms"),
+    )

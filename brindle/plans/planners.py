@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def disk_evictions(files: DataFrame, budget: int) -> DataFrame:
+def disk_evictions(files: DataFrame, budget: int, by: list[str] | None = None) -> DataFrame:
     """Files (path, bytes, mod_ms, owned, safe) to drop until the rest fits: oldest first, those not owned or owned and safe only.
 
     A file goes while the bytes that would be left without it and all before it still exceed the budget,
-    so the running sum before it decides. A budget of 0 drops nothing.
+    so the running sum before it decides. A budget of 0 drops nothing. `by`: columns that name a node, each with the budget;
+    without them the files are those of one node.
     """
+    by = by or []
     if budget <= 0:
-        return files.limit(0)
-    total = files.agg(F.sum("bytes").alias("total"))
-    may = files.where(~F.col("owned") | F.col("safe"))
-    w = Window.orderBy("mod_ms", "path").rowsBetween(Window.unboundedPreceding, -1)  # one node's file list
-    gone = may.withColumn("before", F.coalesce(F.sum("bytes").over(w), F.lit(0)))
-    return gone.join(F.broadcast(total)).where(F.col("total") - F.col("before") > budget).select("path", "bytes")
+        return files.limit(0).select(*by, "path", "bytes")
+    sizes = files.withColumn("total", F.sum("bytes").over(Window.partitionBy(*by)))
+    w = Window.partitionBy(*by).orderBy("mod_ms", "path").rowsBetween(Window.unboundedPreceding, -1)
+    gone = sizes.where(~F.col("owned") | F.col("safe")).withColumn("before", F.coalesce(F.sum("bytes").over(w), F.lit(0)))
+    return gone.where(F.col("total") - F.col("before") > budget).select(*by, "path", "bytes")
 
 
 def rebalance(nodes: DataFrame, self_id: str, idle: DataFrame, most: int) -> DataFrame:

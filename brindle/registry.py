@@ -570,16 +570,6 @@ def logs_enrich(spark: SparkSession, d: str) -> DataFrame:
     return logs.enrich(e).select("event_id", "severity", "outcome", "duration_ms", "trace_id")
 
 
-@query("SELECT event_type, list_sort(list(value))[floor((count(*) - 1) * 0.95)::INT + 1] AS p95 FROM events GROUP BY event_type")
-def percentile_nearest_lower(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(scalars.nearest_lower_percentile(F.collect_list("value"), 0.95).alias("p95"))
-
-
-@query("SELECT strftime(ts, '%Y-%m-%dT%H:%M') AS minute, count(*) AS n FROM events GROUP BY 1")
-def minute_buckets(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd'T'HH:mm").alias("minute")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT DISTINCT regexp_replace(regexp_replace(lower(split_part(split_part(url, '://', 2), '/', 1)), ':[0-9]+$', ''), '[.]$', '') AS host FROM pages")
 def normal_hosts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select(scalars.normal_host(F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))).alias("host")).distinct()
@@ -632,12 +622,6 @@ def segments_within_bytes(spark: SparkSession, d: str) -> DataFrame:
     return pages.prefix_within_bytes(segments(spark, d), ["db"], "min_txid", "size", 1000).select("db", "min_txid")
 
 
-@query()
-def segments_cover_chain(spark: SparkSession, d: str) -> DataFrame:
-    s = segments(spark, d).withColumn("is_snapshot", F.col("min_txid") == 1)
-    return pages.cover_chain(s.withColumn("is_snapshot", F.col("size") == 1).select("db", "is_snapshot", "min_txid", "max_txid"), ["db"])
-
-
 # Planners -----------------------------------------------------------------------------------------
 
 
@@ -671,7 +655,12 @@ def plan_changes(spark: SparkSession, d: str) -> DataFrame:
     return planners.changes(before, table(spark, d, "orders").select(F.col("o_custkey").alias("k")), "k")
 
 
-@query()
+@query(
+    "WITH RECURSIVE e AS (SELECT event_type AS namespace, event_id, epoch_us(ts) // 1000 AS ts_ms, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000, event_id) AS r FROM events),"
+    " b AS (SELECT namespace, event_id, ts_ms, r, 5::DOUBLE - 1 AS have, true AS admitted FROM e WHERE r = 1 UNION ALL"
+    "  SELECT namespace, event_id, ts_ms, r, CASE WHEN now >= 1 THEN now - 1 ELSE now END, now >= 1 FROM (SELECT e.*, least(5::DOUBLE, b.have + (e.ts_ms - b.ts_ms)::DOUBLE / 1000::DOUBLE * 0.0005::DOUBLE) AS now FROM b JOIN e ON e.namespace = b.namespace AND e.r = b.r + 1))"
+    " SELECT namespace, event_id, ts_ms, admitted FROM b"
+)
 def stream_token_bucket(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(F.col("event_type").alias("namespace"), "event_id", epoch_ms("ts").alias("ts_ms"))
     return states.token_bucket(e, 0.0005, 5.0)
@@ -866,16 +855,6 @@ def workflow_replay(spark: SparkSession, d: str) -> DataFrame:
     return workflow.replay(c.where("turn % 2 = 0").select("instance_id", "name", "result"), c.select("instance_id", "name", "turn")).select(F.col("instance_id").alias("conv_id"), "turn", "done")
 
 
-@query("SELECT event_type AS kind, user_id % 3 = 0 AS ok, count(*) AS n FROM events GROUP BY 1, 2")
-def timers_fire_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("kind"), (F.col("user_id") % 3 == 0).alias("ok")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")
-def wake_earliest_by_scope(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("user_id").agg(F.min_by("event_id", F.struct("event_id")).alias("event_id"))
-
-
 @query("SELECT event_id FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def logs_fresh_subscriptions(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", F.lit("n").alias("namespace"), F.col("user_id").alias("worker"))
@@ -919,12 +898,6 @@ def functions_paths(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", scalars.mime_type(name).alias("mime"), scope["ns"].alias("ns"), scope["id"].alias("id"))
 
 
-@query("SELECT user_id, epoch_us(date_trunc('hour', ts)) // 1000 AS hour_ms, count(*) AS n FROM events GROUP BY 1, 2")
-def stream_tumbling_batch(spark: SparkSession, d: str) -> DataFrame:
-    w = F.window(F.col("ts"), "1 hour")
-    return table(spark, d, "events").groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n")).select("user_id", epoch_ms("w.start").alias("hour_ms"), "n")
-
-
 _surface("sql_cross_bounded", "SELECT r_name, n.k FROM region CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) n")
 _surface("sql_lateral_values", "SELECT o_orderkey, x.k FROM orders, LATERAL (SELECT o_orderkey % 3 AS k) x WHERE x.k = 1")
 _surface("sql_running_frames", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS s3, first_value(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS first, CAST(ntile(4) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS q FROM events")
@@ -932,3 +905,5 @@ _surface("sql_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM
 _surface("sql_group_concat", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
 _surface("sql_math_functions", "SELECT p_partkey, abs(p_size - 25) AS a, round(sqrt(p_retailprice), 6) AS s, CAST(floor(p_retailprice / 7) AS BIGINT) AS f, CAST(p_partkey % 7 AS BIGINT) AS m, round(ln(p_retailprice), 6) AS l FROM part")
 _surface("sql_dates", "SELECT o_orderkey, CAST(extract(YEAR FROM o_orderdate) AS BIGINT) AS y, CAST(extract(MONTH FROM o_orderdate) AS BIGINT) AS m FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01'")
+
+from brindle import registry_more  # noqa: E402, F401  (adds its queries to the two tables above)

@@ -81,3 +81,18 @@ def consume(stream: DataFrame, handler: Callable[[DataFrame], DataFrame], settle
             batch.unpersist()
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def tumbling_counts(events: DataFrame, by: list[str], at: str, size: str) -> DataFrame:
+    """Events of each key in windows of a size: start_at, n. Over a stream, put a watermark on the time first."""
+    return events.groupBy(*by, F.window(at, size).alias("__w")).agg(F.count("*").alias("n")).select(*by, F.col("__w.start").alias("start_at"), "n")
+
+
+def sliding_counts(events: DataFrame, by: list[str], at: str, size: str, step: str) -> DataFrame:
+    """The same with a window beginning at every step, so that windows overlap."""
+    return events.groupBy(*by, F.window(at, size, step).alias("__w")).agg(F.count("*").alias("n")).select(*by, F.col("__w.start").alias("start_at"), "n")
+
+
+def session_counts(events: DataFrame, by: list[str], at: str, gap: str) -> DataFrame:
+    """Sessions of each key, which end where nothing comes for a gap: first event's time as start_at, n."""
+    return events.groupBy(*by, F.session_window(at, gap).alias("__w")).agg(F.count("*").alias("n")).select(*by, F.col("__w.start").alias("start_at"), "n")
