@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import scalars
 from brindle.functions.filters import compile_filter
-from brindle.operators import control, kv, lineage, logs, objects, pages, queue, timers, vector, workflow
+from brindle.operators import control, kv, lineage, logs, objects, pages, quantised, queue, timers, vector, workflow
 from brindle.plans import planners
 from brindle.registry import FRAMES, INSTANCES, INVOCATIONS, KV, LIVE, MESSAGES, NOW, SEGMENTS, TIMERS, _COSINE, _Q0, _first_vector, _surface, _timers, CONFIG, epoch_ms, frames, instances, invocations, kv_table, messages, query, segments, vectors
 from brindle.sources.tables import table
@@ -227,6 +227,20 @@ def metadata_filter_ranges(spark: SparkSession, d: str) -> DataFrame:
     return e.where(compile_filter({"k": {"$lt": 40, "$gt": 10, "$lte": 35, "$nin": [20, 21]}}, F.col("m"))).select("event_id")
 
 
+@query()
+def vector_pq(spark: SparkSession, d: str) -> DataFrame:
+    index = vectors(spark, d).select("id", "values")
+    near = quantised.QuantisedIndex(index, CONFIG).query_many(index.where("id % 50 = 0"), 10)
+    return near.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@query()
+def vector_signs(spark: SparkSession, d: str) -> DataFrame:
+    index = vectors(spark, d).select("id", "values")
+    near = quantised.QuantisedIndex(index, CONFIG, "sign").query_many(index.where("id % 50 = 0"), 10, rerank=40)
+    return near.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 # Page logs, windows and planners ------------------------------------------------------------------
 
 
