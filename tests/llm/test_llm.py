@@ -90,10 +90,12 @@ def test_quality_counts_and_ratio(spark, docs, labels):
     for d, t in texts.items():
         g = grams(t)
         ratio[d] = sum(math.log((target[b] + 1) / (n_target + whole)) - math.log((raw[b] + 1) / (n_raw + whole)) for b in g) / max(1, len(g))
-    judged = {v: sorted(ratio[d] for d, x in judges.items() if x == v and len(WORD.findall(texts.get(d) or "")) >= 20) for v in (0, 1)}
-    low = judged[1][max(0, math.ceil(quality_rules.LOST * len(judged[1])) - 1)]
-    below = [x for x in judged[0] if x < low]
-    least = (low + max(below)) / 2 if below else low
+    judged = {v: [ratio[d] for d, x in judges.items() if x == v and len(WORD.findall(texts.get(d) or "")) >= 20] for v in (0, 1)}
+    every = sorted(judged[0] + judged[1])
+    merit = lambda t: 2 * sum(x >= t for x in judged[1]) * max(1, len(judged[0])) + sum(x < t for x in judged[0]) * len(judged[1])
+    best = max(every, key=lambda t: (merit(t), -t))
+    below = [x for x in every if x < best]
+    least = (best + max(below)) / 2 if below else best
     for r in got:
         assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == counts(texts[r["doc_id"]])
         failed = r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]
