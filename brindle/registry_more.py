@@ -237,7 +237,7 @@ def vector_pq(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def vector_signs(spark: SparkSession, d: str) -> DataFrame:
     index = vectors(spark, d).select("id", "values")
-    near = quantised.QuantisedIndex(index, CONFIG, "sign").query_many(index.where("id % 50 = 0"), 10, rerank=40)
+    near = quantised.QuantisedIndex(index, CONFIG, "sign").query_many(index.where("id % 50 = 0"), 10, rerank=120)
     return near.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
