@@ -49,6 +49,8 @@ BLOCK = 1 << 19
 TASK = 1 << 18
 #: Tasks of a stage that compares within buckets, at most; beyond it a task has several groups.
 MOST_TASKS = 20_000
+#: Classes whose numbers (24 bytes each) are broadcast to find their texts, at most.
+FEW = 100_000
 #: Pairs whose similarity is estimated at once.
 PAIRS = 1 << 15
 
@@ -192,9 +194,11 @@ def _fetched(texts: DataFrame, grouped: DataFrame, pairs: DataFrame, have: DataF
     if have is not None:
         reps = reps.join(have.select("rep"), "rep", "left_anti")
     wanted = stored(reps.join(grouped.select("rep", "doc_id", "h"), "rep"))
-    if have is not None and wanted.isEmpty():
+    n = wanted.count()
+    if have is not None and not n:
         return have
-    found = texts.join(wanted, ["doc_id", "h"]).select("rep", "text")
+    # Few numbers go to the texts; for many, the texts are exchanged by id.
+    found = texts.join(F.broadcast(wanted) if n <= FEW else wanted, ["doc_id", "h"]).select("rep", "text")
     if repeated:  # rows that repeat an id and its text are one: the first of them is as good as any
         found = found.groupBy("rep").agg(F.first("text").alias("text"))
     found = stored(found)
