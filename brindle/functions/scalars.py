@@ -202,6 +202,7 @@ def event_kind(url: Column, cron: Column, queue: Column, method: Column) -> Colu
     return F.when(url.isNotNull(), "fetch").when(cron.isNotNull(), "scheduled").when(queue.isNotNull(), "queue").otherwise(by_method)
 
 
+# Headers that are never shown.
 SECRET_HEADERS = ("authorization", "cookie", "proxy-authorization", "x-api-key")
 
 
