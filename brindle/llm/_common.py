@@ -94,6 +94,17 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """All labelled ids, one row (doc_id, label) each.
+
+    Null ids and labels other than 0 and 1 are left out. An id with contradicting labels counts with its larger one.
+    """
+    kept = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(
+        F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)
+    )
+    return kept.groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
 def bounded_labels(
     labels: DataFrame, label: str, *, modulus: int | None, held_out: int | None, per_class: int, positive_first: bool = False
 ) -> DataFrame:
@@ -103,12 +114,9 @@ def bounded_labels(
     contradicting labels counts with its larger one. Order by a hash of the id, so the sample does
     not depend on partitioning.
     """
-    kept = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(
-        F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)
-    )
+    kept = known_labels(labels, label)
     if modulus is not None:
         kept = kept.where(fold(F.col("doc_id"), modulus) != held_out)
-    kept = kept.groupBy("doc_id").agg(F.max("label").alias("label"))
     rank = F.xxhash64(F.lit("sample"), "doc_id")
     parts = [kept.where(F.col("label") == v).orderBy(rank, "doc_id").limit(per_class) for v in (0, 1)]
     return parts[0].unionByName(parts[1])
