@@ -7,6 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from brindle.llm import quality_rules
 
 N = 28_000
@@ -65,3 +66,17 @@ def test_threshold_by_parts(spark, monkeypatch):
     for parts in (1, 16, 4096):
         monkeypatch.setattr(quality_rules, "PARTS", parts)
         assert quality_rules.threshold(rated, judges) == ((best + below[-1]) / 2 if below else best)
+
+
+def test_pipeline_judges_by_labels_beyond_20000(spark, tmp_path):
+    """The only good documents are those whose labels a sample of 20,000 by hash leaves out; without them junk would pass."""
+    ranked = spark.range(N).orderBy(F.xxhash64(F.lit("sample"), "id"), "id").collect()
+    good = [r["id"] for r in ranked[20_000:20_400]]
+    bad = list(range(N, N + 400))
+    text = lambda d, kind: " ".join(f"{kind}{(d * 31 + k) % 97}" for k in range(25))
+    docs = spark.createDataFrame([(d, text(d, "fine")) for d in good] + [(d, text(d, "junk")) for d in bad], "doc_id long, text string")
+    labelled(spark, bad=400).write.parquet(str(tmp_path / "labels.parquet"))
+    name, stage = corpus_pipeline.STAGES[0]
+    assert name == "quality_rules"
+    kept = stage(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == {(d, text(d, "fine")) for d in good}
