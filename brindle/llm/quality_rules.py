@@ -9,7 +9,7 @@ The threshold comes from labelled documents that the target doesn't count, the j
 from their bad best, where the share of good ones lost weighs `GOOD_WEIGHT` times the share of bad ones kept. It is the same for every document.
 
 Every labelled document counts, either for the target or as a judge. Trusted documents are told from others in place, by a bit filter
-of fixed size and the list of ids that it takes for trusted ones wrongly; only where that list is long are texts exchanged. Else counts by
+of fixed size and the list of ids that it takes for trusted ones wrongly; only where that list is long are the texts that the filter passes exchanged. Else counts by
 bucket, ids and ratios are shuffled, and nothing more.
 """
 
@@ -28,7 +28,7 @@ SYMBOLS = "#*$%&|<>"
 #: Long integers of the bit filter, whatever the number of trusted documents (8 MiB), and the bits that an id sets.
 FILTER = 1 << 20
 FILTER_BITS = 4
-#: Ids that the filter takes for trusted ones wrongly are broadcast, up to so many; with more, texts are joined by an exchange.
+#: Ids that the filter takes for trusted ones wrongly are broadcast, up to so many; with more, the texts that it passes are exchanged.
 MISTAKEN = 100_000
 #: Parts by hash or by ratio in which labelled documents are ranked, so that no task ranks all of them.
 PARTS = 4096
@@ -111,10 +111,10 @@ def _flagged(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     if mistaken.count() <= MISTAKEN:
         found = with_taken(docs).join(F.broadcast(mistaken.withColumn(f"{_P}mistaken", F.lit(True))), "doc_id", "left")
         return found.select("text", F.when(F.col(f"{_P}taken") & F.col(f"{_P}mistaken").isNull(), good).alias(f"{_P}good"))
-    # Rows without an id match nothing: they are dealt by their texts.
-    keyed = docs.select("text", F.coalesce("doc_id", F.xxhash64("text")).alias(f"{_P}key"), F.col("doc_id").isNotNull().alias(f"{_P}known"))
-    ids = trusted.select(F.col("doc_id").alias(f"{_P}key"), F.lit(True).alias(f"{_P}known"), good.alias(f"{_P}good"))
-    return keyed.join(ids.hint("shuffle_hash"), [f"{_P}key", f"{_P}known"], "left").select("text", f"{_P}good")
+    # Texts that the filter passes go to the ids; the others, and rows without an id, stay.
+    found = with_taken(docs).where(f"{_P}taken").join(trusted.withColumn(f"{_P}good", good).hint("shuffle_hash"), "doc_id", "left")
+    others = with_taken(docs).where(f"NOT {_P}taken").select("text", F.lit(None).cast("int").alias(f"{_P}good"))
+    return others.unionByName(found.select("text", f"{_P}good"))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
