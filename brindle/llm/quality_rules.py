@@ -9,7 +9,7 @@ The threshold comes from labelled documents that the target doesn't count, the j
 from their bad best, where the share of good ones lost weighs `GOOD_WEIGHT` times the share of bad ones kept. It is the same for every document.
 
 Every labelled document counts, either for the target or as a judge. Trusted documents are told from others in place, by a bit filter
-of fixed size and the list of ids that it takes for trusted ones wrongly; only where that list is long are the texts that the filter passes exchanged. Else counts by
+of bounded size and the list of ids that it takes for trusted ones wrongly; only where that list is long are the texts that the filter passes exchanged. Else counts by
 bucket, ids and ratios are shuffled, and nothing more.
 """
 
@@ -18,16 +18,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm._common import WORD, checkpoint, known_labels, stored, words
+from brindle.llm._common import WORD, checkpoint, known_labels, release_shuffles, stored, words
 
 BUCKETS = 1 << 20
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
-#: Long integers of the bit filter, whatever the number of trusted documents (8 MiB), and the bits that an id sets.
+#: Long integers of the bit filter, at most (8 MiB), and the bits that an id sets.
 FILTER = 1 << 20
 FILTER_BITS = 4
+#: Trusted documents for each long integer of the filter, as long as it is below its largest size.
+FILTER_IDS = 2
 #: Ids that the filter takes for trusted ones wrongly are broadcast, up to so many; with more, the texts that it passes are exchanged.
 MISTAKEN = 100_000
 #: Parts by hash or by ratio in which labelled documents are ranked, so that no task ranks all of them.
@@ -85,29 +87,37 @@ def _array(rows: DataFrame, value: str, by: str) -> DataFrame:
     return rows.agg(F.sort_array(F.collect_list(F.struct(by, value))).alias("all")).select(F.transform("all", lambda x: x[value]).alias("all"))
 
 
-def _places() -> list[tuple[str, str]]:
-    """The bits of an id in the filter: place of the long integer, and its value with that bit set."""
+def _filter_size(n_trusted: int) -> int:
+    """Long integers of the bit filter, a power of two: the driver holds the filter several times over, so few ids get a small one."""
+    return min(FILTER, 1 << max(0, -(-n_trusted // FILTER_IDS) - 1).bit_length())
+
+
+def _places(size: int) -> list[tuple[str, str]]:
+    """The bits of an id in a filter of `size` long integers: place of the long integer, and its value with that bit set."""
     hashes = [f"xxhash64({k}, doc_id)" for k in range(FILTER_BITS)]
-    return [(f"CAST({h} & {FILTER - 1} AS INT)", f"shiftleft(1L, CAST(shiftrightunsigned({h}, 58) AS INT))") for h in hashes]
+    return [(f"CAST({h} & {size - 1} AS INT)", f"shiftleft(1L, CAST(shiftrightunsigned({h}, 58) AS INT))") for h in hashes]
 
 
 def _flagged(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """Every row's text, and 1 as `__q_good` if its id is among `trusted` (doc_id, each once), null otherwise."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     good = F.lit(1)
-    bits = trusted.select(F.inline(F.array(*(F.struct(F.expr(p).alias("place"), F.expr(b).alias("bit")) for p, b in _places()))))
-    every = docs.sparkSession.range(FILTER).select(F.col("id").cast("int").alias("place"))
+    size = _filter_size(trusted.count())
+    bits = trusted.select(F.inline(F.array(*(F.struct(F.expr(p).alias("place"), F.expr(b).alias("bit")) for p, b in _places(size)))))
+    every = docs.sparkSession.range(size).select(F.col("id").cast("int").alias("place"))
     filled = every.join(bits.groupBy("place").agg(F.bit_or("bit").alias("bits")), "place", "left").select("place", F.coalesce("bits", F.lit(0)).alias("bits"))
     bit_filter = checkpoint(_array(filled, "bits", "place"))
 
     def with_taken(df: DataFrame) -> DataFrame:
         # The subquery stands in one place, as in `_mean_ratio`: the driver holds its result once for each.
         df = df.select("*", bit_filter.scalar().alias(f"{_P}filter"))
-        all_set = " AND ".join(f"get(f, {place}) & {bit} != 0" for place, bit in _places())
+        all_set = " AND ".join(f"get(f, {place}) & {bit} != 0" for place, bit in _places(size))
         return df.withColumn(f"{_P}taken", F.expr(f"doc_id IS NOT NULL AND transform(array({_P}filter), f -> {all_set})[0]")).drop(f"{_P}filter")
 
-    taken = with_taken(docs.select("doc_id")).where(f"{_P}taken").select("doc_id")
+    # Stored: the optimiser would test the other side of the join by the filter, too.
+    taken = stored(with_taken(docs.select("doc_id")).where(f"{_P}taken").select("doc_id"))
     mistaken = stored(taken.join(trusted.hint("shuffle_hash"), "doc_id", "left_anti").distinct())
+    release_shuffles(docs.sparkSession)
     if mistaken.count() <= MISTAKEN:
         found = with_taken(docs).join(F.broadcast(mistaken.withColumn(f"{_P}mistaken", F.lit(True))), "doc_id", "left")
         return found.select("text", F.when(F.col(f"{_P}taken") & F.col(f"{_P}mistaken").isNull(), good).alias(f"{_P}good"))
@@ -127,6 +137,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         .groupBy("bucket")
         .agg(F.count("*").cast("double").alias("raw"), F.count(f"{_P}good").cast("double").alias("target"))
     )
+    # The filter and the shuffled counts go before the ratios come to the driver.
+    release_shuffles(docs.sparkSession)
     whole = BUCKETS * PSEUDO_COUNT
     totals = counts.agg(F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))

@@ -53,6 +53,27 @@ def test_flags_are_exact(spark, monkeypatch, filter_, mistaken):
     assert sorted(r["text"] for r in got) == sorted(f"{d} {k}" for k, d in enumerate(ids))
 
 
+@pytest.mark.parametrize("n, size", [(0, 1), (2, 1), (3, 2), (50_000, 1 << 15), (1 << 21, 1 << 20), (6_200_000, 1 << 20)])
+def test_size_of_the_filter(n, size):
+    assert quality_rules._filter_size(n) == size
+
+
+def test_what_the_driver_gets_of_few_trusted(spark, monkeypatch):
+    """The driver copies the filter for every stage that tests it: it is small for few ids, and no other stage tests it."""
+    filters, written, released = [], [], []
+    checkpoint, stored, release = quality_rules.checkpoint, quality_rules.stored, quality_rules.release_shuffles
+    monkeypatch.setattr(quality_rules, "checkpoint", lambda df: filters.append(checkpoint(df)) or filters[-1])
+    monkeypatch.setattr(quality_rules, "stored", lambda df: written.append(df._jdf.queryExecution().optimizedPlan().toString()) or stored(df))
+    monkeypatch.setattr(quality_rules, "release_shuffles", lambda s: released.append(1) or release(s))
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    weights = quality_rules.log_ratios(docs, spark.range(0, 1000, 5).select(F.col("id").alias("doc_id")))
+    assert filters[0].select(F.size("all")).first()[0] == 128
+    assert weights.select(F.size("weights")).first()[0] == quality_rules.BUCKETS
+    # The filter is tested on the documents only, not also on the trusted ids that they are joined with.
+    assert [plan.count("scalar-subquery") for plan in written] == [1, 0]
+    assert len(released) == 2
+
+
 def test_threshold_by_parts(spark, monkeypatch):
     """As by a plain loop over all ratios: many judges, equal ratios, and far ones that leave most parts empty."""
     rows = [(k, (k * 7919 % 1000) / 997 - (1e4 if k == 5 else 0), 1 if (k * 31 % 100) < 20 + k * 7919 % 1000 / 15 else 0) for k in range(3000)]
